@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import licenses, sharding
 
-QUERIES = {"op3_extendible_sharding": sharding.op3_extendible_sharding}
+QUERIES = {"op1_license_scan": licenses.op1_license_scan, "op3_extendible_sharding": sharding.op3_extendible_sharding}
 ORACLES = {"op3_extendible_sharding": sharding.ORACLE}
 
 
