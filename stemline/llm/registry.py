@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding
+from . import licenses, media, sharding
 
-QUERIES = {"op1_license_scan": licenses.op1_license_scan, "op3_extendible_sharding": sharding.op3_extendible_sharding}
+QUERIES = {"op2_media_avi": media.op2_media_avi, "op1_license_scan": licenses.op1_license_scan, "op3_extendible_sharding": sharding.op3_extendible_sharding}
 ORACLES = {"op3_extendible_sharding": sharding.ORACLE}
 
 
