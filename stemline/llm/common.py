@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +46,9 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of long texts within a worker's memory."""
+    """Keeps Arrow batches of long texts within a worker's memory, and lets workers on this machine import this package
+    from where the driver did."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
