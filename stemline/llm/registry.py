@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, grammar, language, licenses, media, packing, sharding, simhash, warc
+from . import decontamination, grammar, language, licenses, media, packing, repeats, sharding, simhash, warc
 
-QUERIES = {"op4_simhash_components": simhash.op4_simhash_components, "op9_packing": packing.op9_packing, "op6_token_grammar": grammar.op6_token_grammar, "op7_language_id": language.op7_language_id, "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination, "op5_warc_roundtrip": warc.op5_warc_roundtrip, "op2_media_avi": media.op2_media_avi, "op1_license_scan": licenses.op1_license_scan, "op3_extendible_sharding": sharding.op3_extendible_sharding}
+QUERIES = {"op10_suffix_dedup": repeats.op10_suffix_dedup, "op4_simhash_components": simhash.op4_simhash_components, "op9_packing": packing.op9_packing, "op6_token_grammar": grammar.op6_token_grammar, "op7_language_id": language.op7_language_id, "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination, "op5_warc_roundtrip": warc.op5_warc_roundtrip, "op2_media_avi": media.op2_media_avi, "op1_license_scan": licenses.op1_license_scan, "op3_extendible_sharding": sharding.op3_extendible_sharding}
 ORACLES = {"op8_benchmark_decontamination": decontamination.ORACLE, "op5_warc_roundtrip": warc.ORACLE, "op3_extendible_sharding": sharding.ORACLE}
 
 
