@@ -13,6 +13,9 @@ from stemline.llm import common, decontamination, language, packing, repeats, si
 
 #: Texts whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
+#: Near copies: words of a shingle, and bits in which fingerprints may differ. Seven of 64 bits stand for a cosine of 0.94,
+#: in sets of equal size a Jaccard similarity of 0.89, on the average; unrelated texts are that near once in 10 ** 10 pairs.
+SHINGLE, BITS = 5, 7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component of near copies."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, size=SHINGLE, budget=BITS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

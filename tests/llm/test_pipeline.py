@@ -24,13 +24,13 @@ def test_stages_equal_brute_force(spark):
     assert {k for k, r in rows.items() if r["lang"] and len(r["text"]) > 20} <= set(kept) and all(kept[k] == rows[k] for k in kept)
 
     second = common.table(corpus_pipeline.near_dedup(spark, first, SF))
-    fps = {k: simhash.fingerprint(r["text"].encode()) % (1 << 64) for k, r in kept.items()}
+    fps = {k: simhash.fingerprint(r["text"].encode(), corpus_pipeline.SHINGLE) % (1 << 64) for k, r in kept.items()}
     label = {k: k for k in kept}
     changed = True
     while changed:
         changed = False
         for a in kept:
-            low = min(label[b] for b in kept if hamming(fps[a], fps[b]) <= simhash.BUDGET)
+            low = min(label[b] for b in kept if hamming(fps[a], fps[b]) <= corpus_pipeline.BITS)
             changed, label[a] = changed or low < label[a], min(low, label[a])
     assert {r["doc_id"] for r in second.collect()} == {k for k in kept if label[k] == k} and second.columns == columns
 
