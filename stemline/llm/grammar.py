@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
-from .tokens import Encoder, vocabulary
+from . import common, tokens
 
 END, SHARD_IDS, ROUNDS, PAIRS, LEAST = 1, 1 << 20, 3, 5400, 6
 MAGIC = b"RPS1"
@@ -192,7 +191,7 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
 
         for b in batches:
             ids_type = b.column(0).type
-            encoder = encoder or Encoder(path)
+            encoder = tokens.encoder(path)
             for key, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 keys.append(key)
                 texts.append(ids + end_bytes)
@@ -243,5 +242,5 @@ def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def op6_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write(common.documents(spark, sf_dir), common.shared_dir(spark) + "/ids", vocabulary("word_bpe_49k.json"))
+    manifest = write(common.documents(spark, sf_dir), common.shared_dir(spark) + "/ids", tokens.vocabulary("word_bpe_49k.json"))
     return read(manifest, with_ids=False).drop("ids")

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
-from .tokens import Encoder, vocabulary
+from . import common, tokens
 
 END, TIERS, POOL_IDS, STEP_IDS = 0, (1024, 512, 256, 128), 1 << 20, 1 << 16
 
@@ -39,9 +38,6 @@ class Piece(NamedTuple):
     ids: bytes  # four bytes an id
     doc_tokens: int
 
-    def __len__(self) -> int:  # ids, not fields
-        return len(self.ids) // 4
-
     def cut(self, n: int) -> tuple[Piece, Piece]:
         return Piece(self.doc, self.start, self.ids[: 4 * n], self.doc_tokens), Piece(self.doc, self.start + n, self.ids[4 * n :], self.doc_tokens)
 
@@ -151,7 +147,7 @@ def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | No
     end_bytes = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pool, longest = None, Pool(tiers[0]), tiers[0]
+        pool, longest = Pool(tiers[0]), tiers[0]
         base, n_sequences, n_steps, row_type = TaskContext.get().partitionId() << 40, 0, 0, None
         done: list[list[Piece]] = []
         size = 0
@@ -173,7 +169,7 @@ def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | No
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], row_type if n == "row" else pa.binary() if n == "ids" else pa.int64()) for n in names], names)
 
         for b in batches:
-            encoder, row_type = encoder or Encoder(path), b.column(0).type
+            encoder, row_type = tokens.encoder(path), b.column(0).type
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 ids += end_bytes
                 n, at = len(ids) // 4, 0
@@ -192,5 +188,5 @@ def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | No
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), carry=["doc_id"])
+    pieces = pack(common.documents(spark, sf_dir), tokens.vocabulary("byte_bpe_50k.json"), carry=["doc_id"])
     return pieces.select("row.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_id")

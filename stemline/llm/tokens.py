@@ -4,8 +4,9 @@ A text is cut before every space that follows a character other than white space
 the vocabularies used here reaches over such a place, so the parts' ids in order are the text's ids
 (texts with white space before a space are encoded whole). Parts of plain letters and marks are cut
 further, between letters and what is no letter, except after an apostrophe or several white-space
-characters, where pre-tokens depend on what follows. Ids of parts are kept in dictionaries of CACHE
-entries at most; beyond that they are encoded anew. Either way they are the library's ids.
+characters, where pre-tokens depend on what follows. A worker keeps ids of parts in dictionaries of
+bounded size, over all its tasks; beyond that they are encoded anew. Either way they are the
+library's ids.
 """
 
 from __future__ import annotations
@@ -13,21 +14,24 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
-#: Parts (and parts of parts) whose ids a task keeps, the longest part kept, and parts of one call of the library.
-CACHE, LONGEST, CALL = 400_000, 64, 20_000
+#: Parts, and parts of parts, whose ids a worker keeps; the longest part kept; parts of one call of the library.
+PARTS, SEGMENTS, LONGEST, CALL = 400_000, 900_000, 64, 20_000
+#: Bytes of text whose parts are looked up together.
+AT_ONCE = 1 << 18
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(rf" ?[{_L}]+")
+#: A space, a word and marks; any part of plain characters; its segments; a letter whose pre-token depends on what is before.
+_SIMPLE = re.compile(rf"( [{_L}]+)([!-@\[-`{{-~\n]*)")
 _PLAIN = re.compile(rf" ?[\x21-\x7e\n{_L}]+")
 _SEGMENT = re.compile(rf" ?[{_L}]+|[^{_L}]+")
-_WORD = re.compile(rf" ?[{_L}]+")
 _OPEN = re.compile(rf"(?:'|\s\s)[{_L}]")
-
-
-#: White space of any kind, or nothing, before a space.
-_SPACED = re.compile(r"(?:^|[\s\x00-\x1f]) ")
+#: White space before a space.
+_SPACED, _SPACED_FAR = [f"{x} " for x in " \n\t\r\x0b\x0c"], re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
 def vocabulary(name: str) -> str:
@@ -37,6 +41,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer's file: its dictionaries serve all tasks of the worker."""
+    return Encoder(path)
+
+
 class Encoder:
     """Texts as UTF-8 to ids, little-endian unsigned 32-bit."""
 
@@ -46,8 +56,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of parts, without the space before them
         self.segments: dict[str, bytes] = {}
+        self.once: set[int] = set()  # hashes of parts that came once
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None  # the id that parts words in one call
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word, where white space has no id
@@ -71,37 +82,71 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-    def _fill(self, missing: list[str], cache: dict, extra: dict, call) -> None:
+    def _fill(self, missing: list[str], cache: dict, most: int, extra: dict, call) -> None:
         for k in range(0, len(missing), CALL):
             part = missing[k : k + CALL]
             for x, ids in zip(part, call(part), strict=True):
-                (cache if len(x) <= LONGEST and len(cache) < CACHE else extra)[x] = ids
-
-    def _learn(self, missing: list[str], extra: dict[str, bytes]) -> None:
-        cut = {x: _SEGMENT.findall(x) for x in missing if _PLAIN.fullmatch(x) and not _OPEN.search(x)}
-        segments = {s for parts in cut.values() for s in parts if s not in self.segments}
+                (cache if len(x) <= LONGEST and len(cache) < most else extra)[x] = ids
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of parts."""
+        get, out, cut, whole = self.segments.get, {}, [], []
+        for x in missing:
+            if m := _SIMPLE.fullmatch(x):
+                word, marks = m.groups()
+                first, second = get(word), get(marks) if marks else b""
+                if first is None or second is None:
+                    cut.append((x, (word, marks) if marks else (word,)))
+                else:
+                    out[x] = first + second
+            elif _PLAIN.fullmatch(x) and not _OPEN.search(x):
+                cut.append((x, _SEGMENT.findall(x)))
+            else:
+                whole.append(x)
+        segments = {s for _, parts in cut for s in parts if s not in self.segments}
         words = [s for s in segments if _WORD.fullmatch(s)]
         more: dict[str, bytes] = {}
-        self._fill(words, self.segments, more, self._words)
-        self._fill(list(segments.difference(words)), self.segments, more, self._ids)
-        self._fill([x for x in missing if x not in cut], self.known, extra, self._ids)
-        for x, parts in cut.items():
-            ids = b"".join([self.segments[s] if s in self.segments else more[s] for s in parts])
-            (self.known if len(x) <= LONGEST and len(self.known) < CACHE else extra)[x] = ids
+        self._fill(words, self.segments, SEGMENTS, more, self._words)
+        self._fill(list(segments.difference(words)), self.segments, SEGMENTS, more, self._ids)
+        self._fill(whole, out, 0, out, self._ids)
+        for x, parts in cut:
+            out[x] = b"".join([more[s] if (i := get(s)) is None else i for s in parts])
+        return out
+
+    def _keep(self, missing: set[str], new: dict[str, bytes]) -> None:
+        """Keeps parts that come a second time; most of the rare ones never do."""
+        if len(self.known) < PARTS:
+            again = {x for x in missing if hash(x) in self.once}
+            self.known.update((x[1:], new[x]) for x in again if len(x) <= LONGEST)
+            self.once.update(map(hash, missing.difference(again)))
+            if len(self.once) > PARTS:
+                self.once.clear()
 
     def encode(self, payloads: Sequence[bytes | None]) -> list[bytes]:
-        known, extra = self.known, {}
-        texts = [self._parts(p.decode("utf-8", "replace")) if p else [] for p in payloads]
-        self._learn(list({x for parts in texts for x in parts if x not in known}), extra)
-        if extra:
-            return [b"".join([known[x] if x in known else extra[x] for x in parts]) for parts in texts]
-        return [b"".join([known[x] for x in parts]) for parts in texts]
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) > 1:
-            if _SPACED.search(text):
-                return [text]
-            return [parts[0], *[" " + x for x in parts[1:]]]
-        return parts
+        out, at, size = [], 0, 0
+        for k, p in enumerate(payloads, 1):  # as much at a time as a processor's cache holds
+            size += len(p) if p else 0
+            if size > AT_ONCE or k == len(payloads):
+                out += self._encode(payloads[at:k])
+                at, size = k, 0
+        return out
+
+    def _encode(self, payloads: Sequence[bytes | None]) -> list[bytes]:
+        get, texts, missing = self.known.get, [], set()
+        for p in payloads:
+            text = p.decode("utf-8", "replace") if p else ""
+            if text[:1] == " " or any(x in text for x in _SPACED) or not text.isascii() and _SPACED_FAR.search(text):
+                first, rest = text, []
+            else:
+                first, *rest = text.split(" ")
+            ids = list(map(get, rest))
+            holes = [(k, f" {rest[k]}") for k, i in enumerate(ids) if i is None] if None in ids else []
+            missing.update([x for _, x in holes])
+            texts.append((first, ids, holes))
+        new = self._learn(missing.union([first for first, _, _ in texts if first]))
+        new[""] = b""
+        self._keep(missing, new)
+        for _, ids, holes in texts:
+            for k, x in holes:
+                ids[k] = new[x]
+        return [new[first] + b"".join(ids) for first, ids, _ in texts]
