@@ -33,8 +33,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 
 
 def plan(df: DataFrame, id_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
-    """id, url-less plan of records: `digest`, `size` and `first`, the id that holds the payload (null if the payload is too
-    short to be shared)."""
+    """digest, size, first, copies: for each payload of at least `least` bytes the smallest id that has it, and how many
+    rows do."""
     rows = df.select(F.col(id_col).alias("id"), F.sha2(F.col(payload_col), 256).alias("digest"), F.octet_length(payload_col).cast("long").alias("size"))
     return rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
 
