@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or below a temporary one where that
+    is unset (tests on one machine). It goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="stemline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stemline-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/stemline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def keep(df: DataFrame) -> DataFrame:
     """df as a written table: lineage ends here, and a lost executor costs no finished round."""
-    path = shared_folder(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
