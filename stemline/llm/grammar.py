@@ -36,29 +36,36 @@ MAGIC = b"RPS1"
 _HEAD = struct.Struct("<4sIIIQQQ")  # magic, bytes a symbol, first nonterminal, rules, symbols, documents, ids
 
 
+def rounds_of(first: int, rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Blocks [start, end) of rules whose parts all come before the block."""
+    most, start = rules.max(axis=1) - first if len(rules) else np.zeros(0, int), 0
+    while start < len(rules):
+        late = np.flatnonzero(most[start:] >= start)
+        end = start + int(late[0]) if len(late) else len(rules)
+        yield start, end
+        start = end
+
+
 def expansion_lengths(first: int, rules: np.ndarray) -> np.ndarray:
     """How many ids each symbol stands for. A rule's parts come before it."""
-    out = [1] * first
-    for a, b in rules.tolist():
-        out.append(out[a] + out[b])
-    return np.array(out, np.int64)
+    out, rules = np.ones(first + len(rules), np.int64), rules.astype(np.int64)
+    for start, end in rounds_of(first, rules):
+        out[first + start : first + end] = out[rules[start:end]].sum(axis=1)
+    return out
 
 
 class Grammar:
     """Rules: nonterminal first + k stands for the pair rules[k]; flat and offset hold the ids each symbol stands for."""
 
     def __init__(self, first: int, rules: np.ndarray) -> None:
-        self.first, self.rules = first, rules
-        self.lengths = expansion_lengths(first, rules)
-        self.offsets = np.concatenate([np.arange(first), first + np.cumsum(self.lengths[first:]) - self.lengths[first:]])
-        self.flat = np.empty(first + int(self.lengths[first:].sum()), np.uint32)
+        rules = rules.astype(np.int64)
+        self.first, self.rules, self.lengths = first, rules, expansion_lengths(first, rules)
+        ends = np.cumsum(self.lengths)  # of ids, each by itself, then of rules in order
+        self.offsets = ends - self.lengths
+        self.flat = np.empty(ends[-1], np.uint32)
         self.flat[:first] = np.arange(first)
-        for k, (a, b) in enumerate(rules.tolist()):
-            at = self.offsets[first + k]
-            for x in (a, b):
-                n = self.lengths[x]
-                self.flat[at : at + n] = self.flat[self.offsets[x] : self.offsets[x] + n]
-                at += n
+        for start, end in rounds_of(first, rules):
+            self.flat[self.offsets[first + start] : ends[first + end - 1]] = self.expand(rules[start:end].ravel())
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.lengths[symbols]
