@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql import types as T
 
 #: One Arrow batch holds at most so many rows, and about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Bits of a bitmap and of one segment of it, as powers of two.
+BITMAP, SEGMENT = 27, 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A-Z to a-z; every byte that can't stand in a word [0-9a-z\x80-] to a space.
@@ -53,6 +58,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def let_go() -> None:
+    """Frees what another operator's tasks have kept in this worker: workers outlive tasks."""
+    if tokens := sys.modules.get(f"{__package__}.tokens"):
+        tokens.encoder.cache_clear()
+
+
 def as_bytes(col: str) -> Column:
     return F.col(col).cast("binary")
 
@@ -75,6 +86,7 @@ def map_texts(
     names, kinds = ["row", *[x[0] for x in out]], [x[2] for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         f = start()
         for b in batches:
             if b.num_rows:
@@ -97,3 +109,35 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+class Bitmap(NamedTuple):
+    """A set of keys by their last bits: keys of the set are in it, others mostly aren't."""
+
+    bits: np.ndarray
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & (8 * len(self.bits) - 1)
+        return self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+
+
+def bitmap(keys: DataFrame, bits: int = BITMAP) -> Bitmap:
+    """The bitmap of the long column `key`: 2 ** bits bits, whatever the number of keys, put together from segments."""
+    segment = min(bits, SEGMENT)
+    slots = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("slot"))
+    slots = slots.withColumn("segment", F.shiftright("slot", segment)).repartition(F.col("segment"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot = b.column(0).to_numpy(zero_copy_only=False)
+            for s in np.unique(slot >> segment).tolist():
+                own = held.setdefault(s, np.zeros(1 << segment, bool))
+                own[slot[slot >> segment == s] & ((1 << segment) - 1)] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["segment", "bits"])
+
+    out, size = np.zeros((1 << bits) // 8, np.uint8), (1 << segment) // 8
+    for s, data in slots.mapInArrow(run, "segment long, bits binary").collect():
+        out[s * size : s * size + size] |= np.frombuffer(bytes(data), np.uint8)
+    return Bitmap(out)

@@ -45,8 +45,7 @@ from . import common
 LENGTH, GRAM, SHALLOW = 400, 32, 32
 REACH = LENGTH - GRAM  # the farthest an anchor lies from its window's start
 #: Windows scanned at once; contexts sorted at once (more if a group has more); anchors of a hot group; bits of a bitmap.
-PIECE, CHUNK, HOT, BITMAP = 1 << 19, 20_000, 100_000, 27
-_SEGMENT = 20
+PIECE, CHUNK, HOT, BITMAP = 1 << 19, 20_000, 100_000, common.BITMAP
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -241,38 +240,6 @@ def runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # -- DataFrames ------------------------------------------------------------------------------------
 
 
-class Bitmap(NamedTuple):
-    """A set of keys by their last bits: keys of the set are in it, others mostly aren't."""
-
-    bits: np.ndarray
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys & (8 * len(self.bits) - 1)
-        return self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
-
-
-def bitmap(keys: DataFrame, bits: int) -> Bitmap:
-    """The bitmap of the long column `key`: 2 ** bits bits, whatever the number of keys, put together from segments."""
-    segment = min(bits, _SEGMENT)
-    slots = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("slot"))
-    slots = slots.withColumn("segment", F.shiftright("slot", segment)).repartition(F.col("segment"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            slot = b.column(0).to_numpy(zero_copy_only=False)
-            for s in np.unique(slot >> segment).tolist():
-                own = held.setdefault(s, np.zeros(1 << segment, bool))
-                own[slot[slot >> segment == s] & ((1 << segment) - 1)] = True
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["segment", "bits"])
-
-    out, size = np.zeros((1 << bits) // 8, np.uint8), (1 << segment) // 8
-    for s, data in slots.mapInArrow(run, "segment long, bits binary").collect():
-        out[s * size : s * size + size] |= np.frombuffer(bytes(data), np.uint8)
-    return Bitmap(out)
-
-
 def _digest(payload: bytes) -> bytes:
     return hashlib.sha256(payload).digest()[:16]
 
@@ -288,6 +255,7 @@ def _scan(texts: DataFrame, schema: str, start: Callable[[], Callable[[list], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        common.let_go()
         f, arrow = start(), to_arrow_schema(kind)
         for b in batches:
             rows = f(b.column(0).to_pylist())
@@ -396,7 +364,7 @@ def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
     counts = outlines.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = common.table(counts, "twice")
     copied = outlines.where("copies > 1")
-    shared, several = (spark.sparkContext.broadcast(bitmap(x, bits)) for x in (counts, copied.select("key")))
+    shared, several = (spark.sparkContext.broadcast(common.bitmap(x, bits)) for x in (counts, copied.select("key")))
     n_contexts, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
 
     def single() -> Callable:
@@ -460,7 +428,7 @@ def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
     carry = [c for c in df.columns if c != text_col] if carry is None else carry
     payload = F.coalesce(common.as_bytes(f"`{text_col}`"), F.lit(b""))
     found = spans(df.select(payload.alias("payload")), bits)
-    touched = spark.sparkContext.broadcast(bitmap(found, bits))
+    touched = spark.sparkContext.broadcast(common.bitmap(found, bits))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), payload.alias("payload"))
     row = rows.schema["row"]
 

@@ -24,7 +24,7 @@ where there is no other. Columns of the input travel in a struct, so their names
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -248,29 +248,42 @@ def connected(edges: DataFrame, kind: str = "edges") -> DataFrame:
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, budget: int = BUDGET) -> DataFrame:
-    """id, fp, component_id for each row of df."""
+    """id, fp, component_id, root (a fingerprint that names the component) for each row of df."""
     docs = common.table(fingerprints(df, text_col, [id_col], size).select(F.col(f"row.{id_col}").alias("id"), "fp"), "fingerprints")
     prints = common.table(docs.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     nodes = connected(links(prints.select("fp"), budget))
     if nodes is None:
-        classes = prints.select("fp", F.col("least").alias("component_id"))
+        classes = prints.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         rooted = common.table(prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-        classes = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("id", "fp", "component_id")
+        classes = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return docs.join(classes, "fp").select("id", "fp", "component_id", "root")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, budget: int = BUDGET) -> DataFrame:
-    """df with one row of each component: one with the smallest id."""
-    found = common.table(components(df, id_col, text_col, size, budget).where(F.col("id").eqNullSafe(F.col("component_id"))), "kept")
-    out = df.join(found.select(F.col("id").alias("__id")).distinct(), F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    if found.groupBy("component_id").count().where("count > 1").isEmpty():
-        return out.select(df.columns)
-    # several rows have that id: of a component's, any one stays
-    prints = fingerprints(out, text_col, df.columns, size)
-    ids = found.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "component_id").distinct()
-    one = prints.join(ids, F.col("row")[id_col].eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
-    return one.dropDuplicates(["component_id"]).select("row.*")
+    """df with one row of each component: one with the smallest id. Rows whose ids only kept rows have, by a bitmap of the
+    others, stay where they are; only the rest is told apart, by id and fingerprint."""
+    found = common.table(components(df, id_col, text_col, size, budget), "components")
+    stays = F.col("id").eqNullSafe(F.col("component_id"))
+    several = found.where(stays).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id")).where("n > 1")
+    unsure = df.sparkSession.sparkContext.broadcast(common.bitmap(found.where(~stays).select("id").unionByName(several.select("id")).select(F.xxhash64("id").alias("key"))))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.col(id_col)).alias("key"))
+
+    def part(sure: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = unsure.value.has(b.column(1).to_numpy(zero_copy_only=False))
+                at = np.flatnonzero(~hit if sure else hit)
+                if len(at):
+                    yield b.select(["row"]).take(pa.array(at))
+
+        return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+
+    prints = fingerprints(part(False), text_col, df.columns, size)
+    known = found.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "component_id", "root").distinct()
+    told = prints.join(known, F.col("row")[id_col].eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
+    told = told.where(F.col("row")[id_col].eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return part(True).unionByName(told.select("row.*"))
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
