@@ -16,6 +16,8 @@ LEAST_SCORE = 0.5
 #: Near copies: words of a shingle, and bits in which fingerprints may differ. Seven of 64 bits stand for a cosine of 0.94,
 #: in sets of equal size a Jaccard similarity of 0.89, on the average; unrelated texts are that near once in 10 ** 10 pairs.
 SHINGLE, BITS = 5, 7
+#: A worker's dictionaries of ids, smaller than the packing operator's own: the other stages have used memory before.
+PARTS, SEGMENTS = 100_000, 200_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
-    pieces = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), carry=["doc_id"])
+    pieces = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), carry=["doc_id"], parts=PARTS, segments=SEGMENTS)
     return pieces.select("row.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_id")
 
 

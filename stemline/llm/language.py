@@ -77,6 +77,7 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col:
     rows = rows.select(F.col(label_col).cast("string").alias("label"), common.as_bytes(text_col).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for b in batches:

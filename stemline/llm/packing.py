@@ -131,10 +131,11 @@ def steps(windows: list[list[Piece]], step_ids: int) -> list[int]:
     return out
 
 
-def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, end: int = END, tiers: Sequence[int] = TIERS, pool_ids: int = POOL_IDS, step_ids: int = STEP_IDS) -> DataFrame:
+def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | None = None, end: int = END, tiers: Sequence[int] = TIERS, pool_ids: int = POOL_IDS, step_ids: int = STEP_IDS, parts: int | None = None, segments: int | None = None) -> DataFrame:
     """A row for each piece: `row` with its document's columns of carry (None: all), start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset, sequence_length, step_id. path: the tokenizer's file, which all
-    executors have. tiers: window lengths, powers of two, the longest first."""
+    executors have. tiers: window lengths, powers of two, the longest first. parts, segments: sizes of
+    a worker's dictionaries of ids."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers must be powers of two, the longest first")
     common.small_batches(df.sparkSession)
@@ -169,7 +170,7 @@ def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | No
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], row_type if n == "row" else pa.binary() if n == "ids" else pa.int64()) for n in names], names)
 
         for b in batches:
-            encoder, row_type = tokens.encoder(path), b.column(0).type
+            encoder, row_type = tokens.encoder(path, parts, segments), b.column(0).type
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 ids += end_bytes
                 n, at = len(ids) // 4, 0

@@ -42,15 +42,17 @@ def vocabulary(name: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer's file: its dictionaries serve all tasks of the worker."""
-    return Encoder(path)
+def encoder(path: str, parts: int | None = None, segments: int | None = None) -> Encoder:
+    """The worker's encoder for a tokenizer's file: its dictionaries serve all tasks of the worker until another operator's
+    task lets go of them (common.let_go)."""
+    return Encoder(path, parts, segments)
 
 
 class Encoder:
     """Texts as UTF-8 to ids, little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, parts: int | None = None, segments: int | None = None) -> None:
+        self.most_parts, self.most_segments = PARTS if parts is None else parts, SEGMENTS if segments is None else segments
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -106,8 +108,8 @@ class Encoder:
         segments = {s for _, parts in cut for s in parts if s not in self.segments}
         words = [s for s in segments if _WORD.fullmatch(s)]
         more: dict[str, bytes] = {}
-        self._fill(words, self.segments, SEGMENTS, more, self._words)
-        self._fill(list(segments.difference(words)), self.segments, SEGMENTS, more, self._ids)
+        self._fill(words, self.segments, self.most_segments, more, self._words)
+        self._fill(list(segments.difference(words)), self.segments, self.most_segments, more, self._ids)
         self._fill(whole, out, 0, out, self._ids)
         for x, parts in cut:
             out[x] = b"".join([more[s] if (i := get(s)) is None else i for s in parts])
@@ -115,11 +117,11 @@ class Encoder:
 
     def _keep(self, missing: set[str], new: dict[str, bytes]) -> None:
         """Keeps parts that come a second time; most of the rare ones never do."""
-        if len(self.known) < PARTS:
+        if len(self.known) < self.most_parts:
             again = {x for x in missing if hash(x) in self.once}
             self.known.update((x[1:], new[x]) for x in again if len(x) <= LONGEST)
             self.once.update(map(hash, missing.difference(again)))
-            if len(self.once) > PARTS:
+            if len(self.once) > self.most_parts:
                 self.once.clear()
 
     def encode(self, payloads: Sequence[bytes | None]) -> list[bytes]:
