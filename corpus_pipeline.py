@@ -6,16 +6,19 @@ last return the columns of documents.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm import common, decontamination, language, packing, repeats, simhash, tokens
+from stemline.llm import common, decontamination, jaccard, language, packing, repeats, tokens
 
 #: Texts whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
-#: Near copies: words of a shingle, and bits in which fingerprints may differ. Seven of 64 bits stand for a cosine of 0.94,
-#: in sets of equal size a Jaccard similarity of 0.89, on the average; unrelated texts are that near once in 10 ** 10 pairs.
-SHINGLE, BITS = 5, 7
+#: Near copies: words of a shingle, and the least Jaccard similarity of their sets of shingles.
+SHINGLE, SIMILAR = 5, Fraction(4, 5)
+#: Bits of fingerprints that linked near copies before. The stage doesn't read it; test_stages_equal_brute_force does.
+BITS = 7
 #: A worker's dictionaries of ids, smaller than the packing operator's own: the other stages have used memory before.
 PARTS, SEGMENTS = 100_000, 200_000
 
@@ -31,8 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each component of near copies."""
-    return simhash.keep_one(docs, size=SHINGLE, budget=BITS)
+    """One document, that with the smallest id, of each component that near copies of a similarity of SIMILAR or more link."""
+    return jaccard.keep_one(docs, size=SHINGLE, least=SIMILAR)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,229 @@
+"""Near copies by exact Jaccard similarity of their sets of word shingles.
+
+Sets. A text's shingles are those of SimHash (words lower-cased in A-Z, parted at ASCII white space;
+a text of fewer words is one shingle), each once, as 64-bit hashes. Texts with one set are copies and
+share `sid`, a hash of the set. A null text is an empty one; empty texts share the empty set.
+
+Candidates. With shingles in any one order, two sets of similarity t or more share a shingle among
+the first n - ceil(t n) + 1 of each. So only these prefixes are dealt, by shingle; pairs whose sizes,
+or places of the shared shingle, leave too little to share are dropped. No pair of similarity t is
+missed. Shingles come rare first, by their counts in a sample, so a passage that many texts hold is in few
+prefixes; the sample changes the time and never the result.
+
+Links. Candidates are compared by their whole sets; only the sets of candidates are shuffled. A
+shingle's texts meet their WIDE next in order of size first, then WIDE ** 2, and so on to all of
+them; pairs that are in one component already are left out, so a group of near copies costs no square.
+
+Every pair of similarity `least` or more is linked or in one component by other links, and nothing
+else is. component_id is the smallest id of a component; null ids count only where there is no other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, simhash
+
+#: Texts of the sample, and the fewest of them that make a shingle count as common.
+SAMPLE, COMMON = 20_000, 4
+#: Neighbours of a shingle's texts met in the first round; entries of a task about; candidates of a batch.
+WIDE, TASK, BATCH = 16, 400_000, 1 << 16
+
+
+def shingles(payload: bytes | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, sorted, each once."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash._hashes(payload or b"", size)]))
+
+
+def sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """id, sid, n and the set (little-endian unsigned 64-bit) of each row."""
+
+    def start():
+        def run(texts: list) -> tuple:
+            own = [shingles(t, size).astype("<u8").tobytes() for t in texts]
+            return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in own], [len(x) // 8 for x in own], own
+
+        return run
+
+    found = common.map_texts(df, text_col, [id_col], start, [("sid", "long", pa.int64()), ("n", "long", pa.int64()), ("set", "binary", pa.binary())])
+    return found.select(F.col(f"row.{id_col}").alias("id"), "sid", "n", "set")
+
+
+def prefix_length(n: int, least: Fraction) -> int:
+    return n - -(-least.numerator * n // least.denominator) + 1 if n else 0
+
+
+def common_shingles(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come in COMMON texts or more of a sample of found, sorted, and their counts."""
+    n = found.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i8"))], ["shingle"])
+
+    some = found.sample(min(1.0, SAMPLE / n), 42) if n else found
+    counts = some.select("set").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
+    keys, counts = (counts.column(k).to_numpy() for k in range(2))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], counts[order]
+
+
+def prefix(own: np.ndarray, keys: np.ndarray, counts: np.ndarray, least: Fraction) -> np.ndarray:
+    """The first shingles of a sorted set, the rarest first."""
+    k = prefix_length(len(own), least)
+    if not len(keys):
+        return own[:k]
+    at = np.searchsorted(keys, own)
+    at[at == len(keys)] = 0
+    return own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")[:k]]
+
+
+def entries(found: DataFrame, least: Fraction, seen) -> DataFrame:
+    """shingle, sid, n and the shingle's place for each shingle of each prefix; seen: a broadcast of common_shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sid, n = (b.column(k).to_numpy() for k in range(2))
+            firsts = [prefix(np.frombuffer(x, "<u8"), *seen.value, least) for x in b.column(2).to_pylist()]
+            many = np.array([len(x) for x in firsts], int)
+            if many.sum():
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                cols = [np.concatenate(firsts).view(np.int64), np.repeat(sid, many), np.repeat(n, many).astype(np.int32), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["shingle", "sid", "n", "at"])
+
+    return found.select("sid", "n", "set").mapInArrow(run, "shingle long, sid long, n int, at int")
+
+
+def meet(shingle: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, least: Fraction, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates (a, b) among the texts of each shingle, over low and up to high places apart in order of size, unless
+    of one root; then the shingles that have texts farther apart."""
+    order = np.lexsort((sid, n, shingle))
+    shingle, sid, n, at, root = (x[order] for x in (shingle, sid, n, at, root))
+    if len(sid):
+        once = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1])])
+        shingle, sid, n, at, root = (x[once] for x in (shingle, sid, n.astype(np.int64), at.astype(np.int64), root))
+    p, q = least.numerator, least.denominator
+    none, live, d = np.zeros(0, np.int64), np.arange(len(sid)), 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(live):
+        d = d + 1 if d else low + 1
+        live = live[live + d < len(sid)]
+        live = live[(shingle[live] == shingle[live + d]) & (q * n[live] >= p * n[live + d])]
+        if d > high:
+            break
+        a, b = live, live + d
+        share = np.minimum(n[a] - at[a], n[b] - at[b])
+        near = ((p + q) * share >= p * (n[a] + n[b])) & (root[a] != root[b])
+        a, b = sid[a[near]], sid[b[near]]
+        if len(a):
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+        if sum(len(x[0]) for x in held) > BATCH:
+            yield *_distinct(held), none
+            held = []
+    if held:
+        yield *_distinct(held), none
+    if len(live):
+        yield none, none, np.unique(shingle[live])
+
+
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[new], b[new]
+
+
+def candidates(dealt: DataFrame, least: Fraction, low: int, high: int, tasks: int) -> DataFrame:
+    """a, b of meet, and in rows of their own the shingles that it returns; dealt: entries with `root`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches]
+        if held:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            for a, b, far in meet(*cols, least, low, high):
+                lost = pa.nulls(len(far), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(a), lost]), pa.concat_arrays([pa.array(b), lost]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(far)])], ["a", "b", "shingle"]
+                )
+
+    return dealt.select("shingle", "sid", "n", "at", "root").repartition(tasks, "shingle").mapInArrow(run, "a long, b long, shingle long")
+
+
+def similar(found: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of least or more."""
+    spark = found.sparkSession
+    needed = spark.sparkContext.broadcast(common.bitmap(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.flatnonzero(needed.value.has(b.column(0).to_numpy()))
+            if len(at):
+                yield b.take(pa.array(at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                near.append(both * least.denominator >= least.numerator * ((len(x) + len(y)) // 8 - both))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    own = common.table(found.select("sid", "set").mapInArrow(some, "sid long, set binary").dropDuplicates(["sid"]), "sets")
+    whole = pairs.join(own.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
+    return whole.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def links(found: DataFrame, least: Fraction) -> DataFrame | None:
+    """node, root of simhash.connected for the sids that have a link; None: there is none."""
+    spark = found.sparkSession
+    seen = spark.sparkContext.broadcast(common_shingles(found))
+    total = found.agg(F.sum(F.col("n") * float(1 - least) + 1)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // TASK + 1)
+    edges, nodes, far, low, high = None, None, None, 0, WIDE
+    while True:
+        dealt = entries(found, least, seen)
+        if far is not None:
+            dealt = dealt.join(far, "shingle")
+        if nodes is None:
+            dealt = dealt.withColumn("root", F.col("sid"))
+        else:
+            dealt = dealt.join(nodes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        met = common.table(candidates(dealt, least, low, high, tasks), "candidates")
+        pairs = common.table(met.where("a is not null").select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            new = common.table(similar(found, pairs, least), "links")
+            edges = new if edges is None else edges.unionByName(new)
+            nodes = simhash.connected(edges)
+        far = met.where("shingle is not null").select("shingle").distinct()
+        if far.isEmpty():
+            return nodes
+        low, high = high, high * WIDE
+
+
+def components(df: DataFrame, id_col: str, text_col: str, size: int, least: Fraction) -> DataFrame:
+    """id, fp (the sid), component_id, root (a sid that names the component) for each row of df."""
+    found = common.table(sets(df, id_col, text_col, size), "sets")
+    docs = found.select("id", F.col("sid").alias("fp"))
+    prints = common.table(docs.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    return simhash.classes(docs, prints, links(found, least))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int, least: Fraction) -> DataFrame:
+    """df with one row of each component: one with the smallest id."""
+
+    def named(rows: DataFrame) -> DataFrame:
+        def start():
+            return lambda texts: ([xxhash.xxh3_64_intdigest(shingles(t, size).astype("<u8").tobytes()) - (1 << 63) for t in texts],)
+
+        return common.map_texts(rows, text_col, df.columns, start, [("fp", "long", pa.int64())])
+
+    return simhash.one_of_each(df, components(df, id_col, text_col, size, least), id_col, named)

@@ -24,7 +24,7 @@ where there is no other. Columns of the input travel in a struct, so their names
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -251,19 +251,28 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """id, fp, component_id, root (a fingerprint that names the component) for each row of df."""
     docs = common.table(fingerprints(df, text_col, [id_col], size).select(F.col(f"row.{id_col}").alias("id"), "fp"), "fingerprints")
     prints = common.table(docs.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    nodes = connected(links(prints.select("fp"), budget))
+    return classes(docs, prints, connected(links(prints.select("fp"), budget)))
+
+
+def classes(docs: DataFrame, prints: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """id, fp, component_id, root for each row (id, fp) of docs; prints: fp, least id; nodes: what connected returns."""
     if nodes is None:
-        classes = prints.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+        found = prints.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
         rooted = common.table(prints.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-        classes = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return docs.join(classes, "fp").select("id", "fp", "component_id", "root")
+        found = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return docs.join(found, "fp").select("id", "fp", "component_id", "root")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, budget: int = BUDGET) -> DataFrame:
-    """df with one row of each component: one with the smallest id. Rows whose ids only kept rows have, by a bitmap of the
-    others, stay where they are; only the rest is told apart, by id and fingerprint."""
-    found = common.table(components(df, id_col, text_col, size, budget), "components")
+    """df with one row of each component: one with the smallest id."""
+    return one_of_each(df, components(df, id_col, text_col, size, budget), id_col, lambda rows: fingerprints(rows, text_col, df.columns, size))
+
+
+def one_of_each(df: DataFrame, found: DataFrame, id_col: str, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with one row of each component of found (id, fp, component_id, root). Rows whose ids only kept rows have, by a
+    bitmap of the others, stay where they are; only the rest is told apart, by id and by `fp`, which named gives."""
+    found = common.table(found, "components")
     stays = F.col("id").eqNullSafe(F.col("component_id"))
     several = found.where(stays).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id")).where("n > 1")
     unsure = df.sparkSession.sparkContext.broadcast(common.bitmap(found.where(~stays).select("id").unionByName(several.select("id")).select(F.xxhash64("id").alias("key"))))
@@ -279,7 +288,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
         return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
 
-    prints = fingerprints(part(False), text_col, df.columns, size)
+    prints = named(part(False))
     known = found.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "component_id", "root").distinct()
     told = prints.join(known, F.col("row")[id_col].eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
     told = told.where(F.col("row")[id_col].eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
