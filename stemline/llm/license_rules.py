@@ -92,7 +92,7 @@ classpath-exception | 3 | classpath | classpath exception(?: 2 0)?
 gcc-exception | 3 | gcc | gcc runtime library exception(?: 3 1)?
 apache-2.0 | 4 | apache | licensed under the apache license version 2 0
 apache-2.0 | 3 | apache | you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0
-apache-2.0 | 3 | asis | distributed on an as is basis without warranties or conditions of any kind
+apache-2.0 | 3 | warranties | distributed on an as is basis without warranties or conditions of any kind
 apache-2.0 | 2 | apache | apache(?: software)? license(?: version| v)? 2(?: 0)?
 apache-1.1 | 2 | apache | apache(?: software)? license(?: version| v)? 1 1
 apache-1.0 | 2 | apache | apache(?: software)? license(?: version| v)? 1 0
@@ -211,7 +211,7 @@ unlicense | 3 | unencumbered | this is free and unencumbered software released i
 unlicense | 2 | unlicense | (?:the )?unlicense
 wtfpl | 3 | fuck | do what the fuck you want to public license
 wtfpl | 2 | wtfpl | wtfpl
-beerware | 2 | beer | beer ?ware license
+beerware | 2 | beer | beer ware license
 beerware | 2 | beerware | beerware license
 json | 3 | evil | the software shall be used for good not evil
 public-domain | 2 | public | (?:released|placed|dedicated) (?:in|into|to) the public domain
@@ -232,7 +232,7 @@ cc-by-4.0 | 2 | cc | cc by 4 0(?: international)?
 cc-by-3.0 | 2 | cc | cc by 3 0(?: unported)?
 cc-by-2.0 | 2 | cc | cc by 2 [05]
 cc-by-1.0 | 2 | cc | cc by 1 0
-cc-by-nc-nd | 3 | noncommercial | creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: works)?
+cc-by-nc-nd | 3 | commons | creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: works)?
 cc-by-nc-sa | 3 | commons | creative commons attribution non ?commercial share ?alike(?: [1234] [05])?
 cc-by-nc | 2 | commons | creative commons attribution non ?commercial(?: [1234] [05])?
 cc-by-nd | 2 | commons | creative commons attribution no ?deriv(?:s|atives)(?: [1234] [05])?

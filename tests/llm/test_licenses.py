@@ -1,4 +1,5 @@
 import re
+from itertools import product
 
 from stemline.llm import licenses
 
@@ -37,6 +38,41 @@ def test_there_are_hundreds_of_rules_gated_by_a_word_they_need():
     assert not any(r.pattern.search(b" lorem ipsum ") for r in rules)
 
 
+def matches(tree):
+    """Texts that a parsed pattern matches: every branch and character, repeats at their fewest and once."""
+    parts = []
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(v) for o, v in value if str(o) == "LITERAL"] or ["x"])
+        elif name == "BRANCH":
+            parts.append([t for branch in value[1] for t in matches(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(matches(value[-1]))
+        elif name == "MAX_REPEAT":
+            least, _, inner = value
+            parts.append([t * n for n in {least, max(least, 1)} for t in matches(inner)])
+        else:
+            assert name in ("ASSERT", "AT"), name
+    return ["".join(p) for p in product(*parts)]
+
+
+def test_every_rule_runs_on_all_that_its_pattern_matches():
+    for r in licenses.rules():
+        texts = matches(re._parser.parse(r.pattern.pattern.decode()))
+        assert texts and all(r.pattern.search(f" {t} ".encode()) for t in texts)
+        assert [t for t in texts if r.keyword.decode() not in t.split()] == [], r
+
+
+def test_rules_whose_words_are_parted_by_hyphens():
+    scan = licenses.Scanner().scan
+    for text in (b'distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND', b"distributed on an AS-IS basis, without warranties or conditions of any kind"):
+        assert scan(text)[5:7] == ("apache-2.0", 0.85)
+    assert scan(b"Creative Commons Attribution Non-Commercial No-Derivs")[5] == "cc-by-nc-nd"
+
+
 def test_odd_rows(odd, none):
     found = licenses.scan(odd)
     assert found.count() == odd.count() and set(found.first()["row"].asDict()) == set(odd.columns)
