@@ -2,8 +2,8 @@
 
 Documents are encoded in ascending order of their id (range partitions, sorted; nulls first, equal
 ids by text), END is appended to each, and tasks write files of shards. In a shard, frequent pairs
-of neighbouring symbols become nonterminals, ROUNDS times, the most frequent first; no pair reaches
-over a document's end, so documents are decoded alone. A shard holds its rules, the length of each
+of neighbouring symbols become nonterminals, PAIRS a round and the most frequent first, until none
+comes LEAST times or symbols run out; no pair reaches over a document's end, so documents are decoded alone. A shard holds its rules, the length of each
 rule's expansion, the symbols, and a directory of documents (first symbol, first id), all as
 little-endian arrays under a header; a document, or any run of its ids, is decoded from the
 directory and the expansion lengths.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-END, SHARD_IDS, ROUNDS, PAIRS, LEAST = 1, 1 << 20, 3, 5400, 6
+END, SHARD_IDS, PAIRS, LEAST = 1, 1 << 20, 5400, 6
 MAGIC = b"RPS1"
 _HEAD = struct.Struct("<4sIIIQQQ")  # magic, bytes a symbol, first nonterminal, rules, symbols, documents, ids
 
@@ -73,28 +73,47 @@ class Grammar:
         return self.flat[np.repeat(self.offsets[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, starts: np.ndarray, first: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, starts of documents among them, and rules (rows of two symbols) for the ids of documents that begin at
-    starts. Symbols below first are ids. Each round replaces the most frequent pairs, left to right."""
-    room = (1 << 16 if first < 1 << 16 else 1 << 31) - first  # symbols keep to 2 bytes where ids do
-    seq, rules, used = ids.astype(np.uint32), [], 0
-    is_first = np.zeros(len(seq) + 1, bool)
+    starts. Symbols below first are ids. Each round replaces the most frequent pairs, left to right, until no pair comes
+    `least` times; symbols keep to 2 bytes where ids do, unless more rules make up for wider ones."""
+    is_first = np.zeros(len(ids) + 1, bool)
     is_first[starts] = True
     is_first[-1] = True
-    for _ in range(rounds):
-        if len(seq) < 2 or used >= room:
-            break
+    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
+    if first < 1 << 16:
+        seq, is_first, rules, mergeable = _rounds(seq, is_first, rules, first, (1 << 16) - first, pairs, least)
+        size = 2 * len(seq) + 8 * len(rules)
+        # no rule reaches over a pair that is rare now, so at most the other pairs go
+        if 4 * (len(seq) - mergeable) + 12 * len(rules) < size:
+            more = _rounds(seq.copy(), is_first, rules, first, (1 << 31) - first, pairs, least)
+            if 4 * len(more[0]) + 12 * len(more[2]) < size:
+                seq, is_first, rules, _ = more
+    else:
+        seq, is_first, rules, _ = _rounds(seq, is_first, rules, first, (1 << 31) - first, pairs, least)
+    return seq, np.flatnonzero(is_first[:-1]), rules
+
+
+def _rounds(seq: np.ndarray, is_first: np.ndarray, rules: np.ndarray, first: int, room: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rounds until no pair comes least times or there are room rules; and the places of pairs that still come so often."""
+    all_rules, used, most = [rules], len(rules), pairs
+    while len(seq) > 1:
         keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         if first + room <= 1 << 16:
             keys = seq[:-1] << np.uint32(16) | seq[1:]
         inner = ~is_first[1 : len(seq)]
-        kept = np.sort(keys[inner])
+        alone = inner.copy()  # of a symbol's run, every other pair: the rest overlaps
+        same = np.flatnonzero(inner & (seq[:-1] == seq[1:]))
+        alone[same[_odd(same, keys[same])]] = False
+        kept = np.sort(keys[alone])
         edge = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, int)
         found, counts = kept[edge], np.diff(np.append(edge, len(kept)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
-            break
-        chosen = np.sort(found[often[np.argsort(-counts[often], kind="stable")[: min(pairs, room - used)]]])
+            return seq, is_first, np.concatenate(all_rules), 0
+        if used >= room:
+            return seq, is_first, np.concatenate(all_rules), int(np.isin(keys[inner], found[often]).sum())
+        chosen = np.sort(found[often[np.argsort(-counts[often], kind="stable")[: min(most, room - used)]]])
         bits = np.uint64(32) if chosen.dtype == np.uint64 else np.uint32(16)
         low, high = (chosen & ((chosen.dtype.type(1) << bits) - chosen.dtype.type(1))).astype(np.uint32), (chosen >> bits).astype(np.uint32)
         begins, ends = np.zeros(first + used, bool), np.zeros(first + used, bool)
@@ -105,16 +124,32 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         hit = chosen[rank] == keys[maybe]
         at, rank = maybe[hit], rank[hit]
         # of overlapping places, every other from the left of each run of neighbours
-        run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1])) if len(at) else np.zeros(0, int)
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
+        odd = _odd(at)
         at, rank = at[~odd], rank[~odd]
+        # pairs whose places went to others wait for another round; the most frequent alone keeps all of its own
+        enough = np.bincount(rank, minlength=len(chosen)) >= least
+        if not enough.any():
+            most = max(1, len(chosen) // 4)
+            continue
+        most = pairs
+        own = enough[rank]
+        at, rank = at[own], (np.cumsum(enough) - 1)[rank[own]]
         seq[at] = (first + used + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, is_first = seq[keep], np.append(is_first[:-1][keep], True)
-        rules.append(np.stack([high, low], axis=1))
-        used += len(chosen)
-    return seq, np.flatnonzero(is_first[:-1]), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+        all_rules.append(np.stack([high, low], axis=1)[enough])
+        used += int(enough.sum())
+    return seq, is_first, np.concatenate(all_rules), 0
+
+
+def _odd(at: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Whether each of the sorted places has an odd number in its run of neighbours (of one key)."""
+    new = np.diff(at) != 1
+    if keys is not None:
+        new |= keys[1:] != keys[:-1]
+    run = np.flatnonzero(np.concatenate([[True], new])) if len(at) else np.zeros(0, int)
+    return (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, first: int) -> bytes:

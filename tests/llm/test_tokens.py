@@ -70,6 +70,34 @@ def test_token_shards_equal_brute_force(spark, odd, none):
     assert grammar.read(grammar.write(none, common.shared_dir(spark) + "/ids", tokens.vocabulary(NAMES[0]))).count() == 0
 
 
+@pytest.mark.parametrize("first", [49_408, 1 << 16])
+def test_rules_go_on_until_no_pair_is_frequent(first):
+    rng = np.random.default_rng(0)
+    copy = rng.integers(0, 40_000, 2000)
+    cases = [(np.tile(copy, 260), 2000), (np.zeros(5000, int), 5000), (rng.integers(0, 9, 30_000), 300)]
+    for ids, size in cases:
+        starts = np.arange(0, len(ids), size)
+        seq, at, rules = grammar.compress(ids, starts, first)
+        assert (grammar.Grammar(first, rules).expand(seq.astype(np.int64)) == ids).all() and len(at) == len(starts)
+        for k in np.unique(seq[:-1][np.diff(seq.astype(int)) != 0])[:50]:
+            follow = np.flatnonzero(seq[:-1] == k)
+            follow = follow[~np.isin(follow + 1, at)]
+            after = seq[follow + 1]
+            assert max(np.unique(after[after != k], return_counts=True)[1], default=0) < grammar.LEAST
+    assert len(grammar.compress(cases[0][0], np.arange(0, 520_000, 2000), first)[0]) == 260  # a symbol a copy
+
+
+def test_symbols_widen_where_that_pays():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 60_000, 400) for _ in range(100)]
+    ids = np.concatenate([d for d in docs for _ in range(8)])
+    starts, first = np.arange(0, len(ids), 400), (1 << 16) - 10
+    seq, at, rules = grammar.compress(ids, starts, first)
+    assert len(rules) > 10 and 4 * len(seq) + 12 * len(rules) < 2 * len(ids)
+    shard = grammar.Shard(grammar.pack(ids, starts, first))
+    assert b"".join(shard.documents()) == ids.astype("<u4").tobytes()
+
+
 def check_packing(df, pool):
     rows = packing.pack(df, tokens.vocabulary(NAMES[1]), pool_ids=pool).collect()
     docs, sequences = defaultdict(list), defaultdict(list)
