@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -18,8 +20,8 @@ from pyspark.sql import types as T
 
 #: One Arrow batch holds at most so many rows, and about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-#: Bits of a bitmap and of one segment of it, as powers of two.
-BITMAP, SEGMENT = 27, 20
+#: Bits of the largest bitmap and of one segment of it, as powers of two; bits for each key.
+BITMAP, SEGMENT, SPARSE = 27, 20, 32
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A-Z to a-z; every byte that can't stand in a word [0-9a-z\x80-] to a space.
@@ -32,13 +34,18 @@ def words(payload: bytes | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or a
-    temporary one where that is unset (tests on one machine)."""
+    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or where that is unset and all runs on
+    this machine (tests) below a temporary one. It goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="stemline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stemline-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/stemline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def table(df: DataFrame, name: str = "t") -> DataFrame:
@@ -64,6 +71,46 @@ def let_go() -> None:
         tokens.encoder.cache_clear()
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: Python, Arrow and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) in workers that begin without what other operators kept (unless run keeps something
+    itself) and give their memory back at the end of a task."""
+    small_batches(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
+
+
+_broadcasts: list = []
+
+
+def share(spark: SparkSession, value):
+    """value as a broadcast."""
+    _broadcasts.append(spark.sparkContext.broadcast(value))
+    return _broadcasts[-1]
+
+
+def rest() -> None:
+    """Takes all that share() has broadcast so far off the executors; what is read again is sent again."""
+    for b in _broadcasts:
+        b.unpersist()
+    _broadcasts.clear()
+
+
 def as_bytes(col: str) -> Column:
     return F.col(col).cast("binary")
 
@@ -78,7 +125,6 @@ def map_texts(
     """For each row: struct `row` with the columns of carry, untouched (so no name can clash), and
     the columns of out. start() makes a task's function; that takes a batch of texts as bytes
     (None: null) and returns a list for each column of out."""
-    small_batches(df.sparkSession)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), as_bytes(f"`{text_col}`").alias("payload"))
     schema = T.StructType([rows.schema["row"]])
     for name, ddl, _ in out:
@@ -86,14 +132,13 @@ def map_texts(
     names, kinds = ["row", *[x[0] for x in out]], [x[2] for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         f = start()
         for b in batches:
             if b.num_rows:
                 cols = f(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +166,11 @@ class Bitmap(NamedTuple):
         return self.bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
 
 
-def bitmap(keys: DataFrame, bits: int = BITMAP) -> Bitmap:
-    """The bitmap of the long column `key`: 2 ** bits bits, whatever the number of keys, put together from segments."""
+def bitmap(keys: DataFrame, bits: int | None = None) -> Bitmap:
+    """The bitmap of the long column `key`, put together from segments: SPARSE bits or more for each key, of 2 ** BITMAP
+    bits at most (beyond that it has more wrong bits, which its readers bear)."""
+    if bits is None:
+        bits = min(BITMAP, max(16, (SPARSE * keys.count()).bit_length()))
     segment = min(bits, SEGMENT)
     slots = keys.select(F.col("key").bitwiseAND((1 << bits) - 1).alias("slot"))
     slots = slots.withColumn("segment", F.shiftright("slot", segment)).repartition(F.col("segment"))
@@ -138,6 +186,6 @@ def bitmap(keys: DataFrame, bits: int = BITMAP) -> Bitmap:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["segment", "bits"])
 
     out, size = np.zeros((1 << bits) // 8, np.uint8), (1 << segment) // 8
-    for s, data in slots.mapInArrow(run, "segment long, bits binary").collect():
+    for s, data in map_batches(slots, run, "segment long, bits binary").collect():
         out[s * size : s * size + size] |= np.frombuffer(bytes(data), np.uint8)
     return Bitmap(out)

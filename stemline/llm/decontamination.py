@@ -134,7 +134,6 @@ def search(df: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: l
     """`row` with the columns of carry (None: all), n_words, `spans` (maximal runs of hit words, [start, end)) and
     `items` (sorted ids, as strings, of the items found)."""
     spark = df.sparkSession
-    common.small_batches(spark)
     carry = df.columns if carry is None else carry
     state = df.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), common.as_bytes(f"`{text_col}`").alias("payload"), F.lit(0).cast("long").alias("n_words"),
@@ -145,7 +144,7 @@ def search(df: DataFrame, benchmark: DataFrame, text_col: str = "text", carry: l
     block = next(todo, [])
     while True:
         following = next(todo, None)
-        state = _pass(state, schema, spark.sparkContext.broadcast(block), n, following is not None)
+        state = _pass(state, schema, common.share(spark, block), n, following is not None)
         if following is None:
             return state.select("row", "n_words", "spans", "items")
         state, block = common.table(state, "pass"), following
@@ -165,7 +164,7 @@ def _pass(state: DataFrame, schema: T.StructType, shared, n: int, more: bool) ->
             payloads = b.column(1) if more else pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), payloads, pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["row", "payload", "n_words", "spans", "items"])
 
-    return state.mapInArrow(run, schema)
+    return common.map_batches(state, run, schema)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,6 @@ class Shard:
 def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the ids of df's texts below folder, a shared one, by the tokenizer file at path, which all executors have.
     Returns the manifest: part, shard, path, offset, n_bytes, n_ids, doc_ids (in order), base (ids in shards before)."""
-    common.small_batches(df.sparkSession)
     id_type = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("payload"))
     rows = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "payload")
@@ -252,7 +251,7 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
                 )
 
     schema = f"part int, shard int, path string, offset long, n_bytes long, n_ids long, doc_ids array<{id_type.simpleString()}>"
-    manifest = common.table(rows.mapInArrow(run, schema), "manifest")
+    manifest = common.table(common.map_batches(rows, run, schema, keeps=True), "manifest")
     before = W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)  # a row a shard
     bases = manifest.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     return manifest.join(bases, ["part", "shard"])
@@ -280,7 +279,7 @@ def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                     held.append(ids if with_ids else None)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], kind), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(held, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return spread.mapInArrow(run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long, ids binary")
+    return common.map_batches(spread, run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op6_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

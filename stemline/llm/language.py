@@ -73,11 +73,9 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col:
     rows = df.where(F.col(label_col).isNotNull())
     if max_rows is not None and (n := rows.count()) > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
-    common.small_batches(df.sparkSession)
     rows = rows.select(F.col(label_col).cast("string").alias("label"), common.as_bytes(text_col).alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.let_go()
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for b in batches:
@@ -91,7 +89,7 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", id_col:
             place = np.append(at, -1).astype(np.int32)  # -1: rows of the label
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(place)), pa.array(place), pa.array(np.append(own[at], docs[label]))], ["label", "place", "n"])
 
-    sums = rows.mapInArrow(run, "label string, place int, n long").groupBy("label", "place").agg(F.sum("n").alias("n"))
+    sums = common.map_batches(rows, run, "label string, place int, n long").groupBy("label", "place").agg(F.sum("n").alias("n"))
     sums = common.table(sums, "counts")
     labels = [r[0] for r in sums.where("place = -1").select("label").orderBy("label").limit(MAX_LABELS + 1).collect()]
     if len(labels) > MAX_LABELS:
@@ -150,7 +148,7 @@ def score(model: Model, payloads: list[bytes | None]) -> tuple[list[str], list[f
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """`row` with the columns of carry (None: all), `lang_pred` and `score` (0 to 1)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(df.sparkSession, model)
     out = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())]
     return common.map_texts(df, text_col, df.columns if carry is None else carry, lambda: lambda texts: score(shared.value, texts), out)
 

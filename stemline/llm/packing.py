@@ -138,7 +138,6 @@ def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | No
     a worker's dictionaries of ids."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers must be powers of two, the longest first")
-    common.small_batches(df.sparkSession)
     carry = df.columns if carry is None else carry
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), common.as_bytes(f"`{text_col}`").alias("payload"))
     names = ["row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_id"]
@@ -185,7 +184,7 @@ def pack(df: DataFrame, path: str, text_col: str = "text", carry: list[str] | No
         done += fill(pool, tiers, True)
         yield from flush()
 
-    return rows.mapInArrow(run, schema)
+    return common.map_batches(rows, run, schema, keeps=True)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

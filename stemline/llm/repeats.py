@@ -255,14 +255,13 @@ def _scan(texts: DataFrame, schema: str, start: Callable[[], Callable[[list], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        common.let_go()
         f, arrow = start(), to_arrow_schema(kind)
         for b in batches:
             rows = f(b.column(0).to_pylist())
             for k in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20_000], strict=True), arrow.types, strict=True)], schema=arrow)
 
-    return texts.mapInArrow(run, kind)
+    return common.map_batches(texts, run, kind)
 
 
 class Context(NamedTuple):
@@ -345,7 +344,6 @@ def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
     """digest, key, spans (array of struct start, end: maximal, in order) for each text that has repeats.
     texts: one column, the payloads."""
     spark = texts.sparkSession
-    common.small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def outline() -> Callable:
@@ -364,7 +362,7 @@ def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
     counts = outlines.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = common.table(counts, "twice")
     copied = outlines.where("copies > 1")
-    shared, several = (spark.sparkContext.broadcast(common.bitmap(x, bits)) for x in (counts, copied.select("key")))
+    shared, several = (common.share(spark, common.bitmap(x, bits)) for x in (counts, copied.select("key")))
     n_contexts, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
 
     def single() -> Callable:
@@ -428,7 +426,7 @@ def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
     carry = [c for c in df.columns if c != text_col] if carry is None else carry
     payload = F.coalesce(common.as_bytes(f"`{text_col}`"), F.lit(b""))
     found = spans(df.select(payload.alias("payload")), bits)
-    touched = spark.sparkContext.broadcast(common.bitmap(found, bits))
+    touched = common.share(spark, common.bitmap(found, bits))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), payload.alias("payload"))
     row = rows.schema["row"]
 
@@ -454,8 +452,8 @@ def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
     done = T.StructType([row])
     for name, ddl, _ in _OUT:
         done.add(name, T._parse_datatype_string(ddl))
-    clean = rows.mapInArrow(split(True), done)
-    rest = rows.mapInArrow(split(False), T.StructType([row]).add("payload", T.BinaryType()).add("digest", T.BinaryType()))
+    clean = common.map_batches(rows, split(True), done)
+    rest = common.map_batches(rows, split(False), T.StructType([row]).add("payload", T.BinaryType()).add("digest", T.BinaryType()))
     rest = rest.join(found.select("digest", "spans"), "digest", "left").select("row", "payload", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +467,7 @@ def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
                 kept.append(b"".join([p[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, _OUT[1][2]), pa.array(kept, pa.binary())], ["row", *[x[0] for x in _OUT]])
 
-    return clean.unionByName(rest.mapInArrow(cut, done))
+    return clean.unionByName(common.map_batches(rest, cut, done))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

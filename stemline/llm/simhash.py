@@ -7,14 +7,14 @@ half the hashes. A text of fewer words is one shingle; a text without words has
 Links. Distinct fingerprints are dealt by the bits of some blocks: of k blocks, two fingerprints
 within the budget agree in k - budget at least, so dealing by every choice of that many blocks
 brings each pair together. k grows with the number of fingerprints, so groups stay small on the
-average at any size; groups over HOT are dealt as pairs of salted parts. In each group a binary trie is
-joined with itself: pairs of nodes go down together, add up differing bits, and end once the budget
-is exceeded. Pairs go by their differing bits, fewest first, and a pair of nodes whose fingerprints
-are all in one component already is dropped, so a dense group costs no square. A task returns a star
-for each of its components, never all pairs.
+average at any size; groups over HOT are dealt on in the same way by the bits in which they may still
+differ. In each group a binary trie is joined with itself: pairs of nodes go down together, add up
+differing bits, and end once the budget is exceeded. Pairs go by their differing bits, fewest first, and
+a pair of nodes whose fingerprints are all in one component already is dropped, so a dense group costs
+no square. A task returns the pairs that joined two of its components, never all pairs.
 
-Components. Stars of all tasks are contracted in rounds: each fingerprint hooks to its least
-neighbour. Every round's result is a table in the shared folder.
+Components. Pairs of all tasks are contracted in rounds. Every round's result is a table in the
+shared folder.
 
 Copies share a fingerprint, so they are linked by it alone. A null text is an empty one, and all
 empty texts are one component. component_id is the smallest id of a component; null ids count only
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -37,10 +38,14 @@ from pyspark.sql import types as T
 from . import common
 
 SIZE, BUDGET, SEED = 4, 4, 42
-#: Fingerprints of a group on the average, at most; of a group before it is salted; of a task about.
+#: Fingerprints of a group on the average, at most; of a group before it is dealt on; of a task about.
 GROUP, HOT, TASK = 128, 50_000, 400_000
-#: Node pairs with so many fingerprint pairs are compared at once.
-LEAF = 32
+#: Node pairs with so many fingerprint pairs are compared; about so many fingerprint pairs at once.
+LEAF, COMPARE = 32, 1 << 18
+#: Edges that one task contracts.
+SMALL = 200_000
+#: Blocks of the bits that a hot group is dealt on by.
+FINE = 14
 PIECE = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LANES = np.arange(8) * 256
@@ -88,69 +93,91 @@ def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None
 # -- links -----------------------------------------------------------------------------------------
 
 
+def blocks_of(k: int, budget: int, within: int) -> list[int]:
+    """The masks of all but `budget` of k blocks of the bits of within: two fingerprints that differ in so many of these
+    bits at most agree under one of them."""
+    bits = [d for d in range(64) if within >> d & 1]
+    edges = [len(bits) * i // k for i in range(k + 1)]
+    blocks = [sum(1 << d for d in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, k - budget)]
+
+
 def masks(n: int, budget: int, group: int = GROUP) -> list[int]:
     """A mask of bits for each way to deal n fingerprints: any two within the budget agree under one of them, and a mask
     has enough bits for groups of about `group`."""
     k = budget + 1
     while k < 64 and n >> (64 * (k - budget) // k) > group:
         k += 1
-    edges = [64 * i // k for i in range(k + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, k - budget)]
+    return blocks_of(k, budget, (1 << 64) - 1)
+
 
+def finer(mask: int, budget: int) -> list[int]:
+    """Masks that deal a group which agrees under mask, so that any two within the budget agree under one and few bits
+    are left: 2 to the number of these bounds the fingerprints of a group."""
+    rest = ~mask % (1 << 64)
+    return [mask | m for m in blocks_of(FINE, budget, rest)] if rest.bit_count() > FINE > budget else [mask]
 
-class Components:
-    """Union of places 0..n-1, with the least place as a component's label."""
 
-    def __init__(self, n: int) -> None:
-        self.label = np.arange(n)
+class Forest:
+    """Union of places 0..n-1, with the least place as a component's label; edges: the pairs that joined two components."""
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        a, b = self.label[a], self.label[b]
-        while len(a := a[keep := a != b]):
-            b = b[keep]
-            low, high = np.minimum(a, b), np.maximum(a, b)
+    def __init__(self, label: np.ndarray) -> None:
+        self.label, self.edges = label, []
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.label[a], self.label[b]
+        while len(keep := np.flatnonzero(x != y)):
+            a, b, x, y = a[keep], b[keep], x[keep], y[keep]
+            low, high = np.minimum(x, y), np.maximum(x, y)
             np.minimum.at(self.label, high, low)
+            won = np.flatnonzero(self.label[high] == low)
+            won = won[np.unique(high[won], return_index=True)[1]]  # a component hooks once
+            self.edges.append((a[won], b[won]))
             while True:
                 up = self.label[self.label]
                 if (up == self.label).all():
                     break
-                self.label = up
-            a, b = self.label[high], self.label[low]
+                self.label[:] = up
+            x, y = self.label[high], self.label[low]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        a, b = zip(*self.edges, strict=True) if self.edges else ([none], [none])
+        return np.concatenate(a), np.concatenate(b)
 
 
-def trie_join(fps: np.ndarray, groups: np.ndarray, mask: int, budget: int) -> np.ndarray:
-    """Labels of components of fingerprints (unsigned, sorted within groups; a group's agree under mask; a group has a
-    number, and groups lie together): the place of each component's first."""
-    n = len(fps)
-    found = Components(n)
+def trie_join(words: np.ndarray, groups: np.ndarray, budget: int, found, leaf: int = LEAF) -> None:
+    """Calls found.near(a, b) with places of fingerprints of one group that differ in at most budget bits, but for pairs
+    that found.label has in one component by then. words: a row for each fingerprint, unsigned and sorted within groups;
+    groups: numbers, equal ones side by side."""
+    n, deep = len(words), 64 * words.shape[1]
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, int)
     ends = np.append(starts[1:], n)
-    depths = [d for d in range(63, -1, -1) if not mask >> d & 1]  # the others don't branch
-    ones = {}
-    root = np.stack([starts, ends, starts, ends])
-    waiting: list[list[list[np.ndarray]]] = [[[] for _ in range(len(depths) + 1)] for _ in range(budget + 2)]
-    waiting[0][0].append(root)
+    ones: dict[int, np.ndarray] = {}
+    waiting: list[dict[int, list[np.ndarray]]] = [{} for _ in range(budget + 2)]
+    waiting[0][0] = [np.stack([starts, ends, starts, ends])]
     for e in range(budget + 1):
         active = np.zeros((4, 0), int)
-        for level in range(len(depths) + 1):
-            active = _needed(np.concatenate([active, *waiting[e][level]], axis=1), found.label)
-            waiting[e][level] = []
-            active = _leaves(active, fps, found, budget, level == len(depths))
-            if level == len(depths) or not active.shape[1]:
+        for level in range(deep + 1):
+            if not active.shape[1] and level not in waiting[e]:
                 continue
-            d = depths[level]
-            if d not in ones:
-                ones[d] = np.concatenate([[0], np.cumsum((fps >> np.uint64(d)) & np.uint64(1), dtype=np.int64)])
+            active = _needed(np.concatenate([active, *waiting[e].pop(level, [])], axis=1), found.label)
+            active = _leaves(active, words, found, budget, leaf, level == deep)
+            if level == deep or not active.shape[1]:
+                continue
+            if level not in ones:
+                bit = words[:, level >> 6] >> np.uint64(63 - (level & 63)) & np.uint64(1)
+                ones[level] = np.concatenate([[0], np.cumsum(bit, dtype=np.int32)])
+            one = ones[level]
             a, b, x, y = active
-            m, w = b - (ones[d][b] - ones[d][a]), y - (ones[d][y] - ones[d][x])
-            own = a == x
-            other = ~own
+            m, w = b - (one[b] - one[a]), y - (one[y] - one[x])
+            other = a != x
             active = np.concatenate([np.stack([a, m, x, w]), np.stack([m, b, w, y])], axis=1)
             if e < budget:
                 crossed = [np.stack([a, m, w, y]), np.stack([m[other], b[other], x[other], w[other]])]
-                waiting[e + 1][level + 1].append(_needed(np.concatenate(crossed, axis=1), found.label))
-    return found.label
+                crossed = _needed(np.concatenate(crossed, axis=1), found.label)
+                if crossed.shape[1]:
+                    waiting[e + 1].setdefault(level + 1, []).append(crossed)
 
 
 def _needed(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -165,86 +192,121 @@ def _needed(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
     return pairs
 
 
-def _leaves(pairs: np.ndarray, fps: np.ndarray, found: Components, budget: int, every: bool) -> np.ndarray:
-    """Compares the fingerprints of small pairs of nodes (all at the last level), links those within the budget, and
-    returns the other pairs."""
+def _leaves(pairs: np.ndarray, words: np.ndarray, found, budget: int, leaf: int, every: bool) -> np.ndarray:
+    """Compares the fingerprints of small pairs of nodes (all at the last level), tells found of those within the budget,
+    and returns the other pairs."""
     if not pairs.shape[1]:
         return pairs
     a, b, x, y = pairs
     count = (b - a) * (y - x)
-    small = np.ones(len(a), bool) if every else count <= LEAF
-    rest = pairs[:, ~small]
+    small = np.ones(len(a), bool) if every else count <= leaf
     at = np.flatnonzero(small)
-    for k in range(0, len(at), 100_000):
-        part = at[k : k + 100_000]
+    total, k = np.cumsum(count[at]), 0
+    while k < len(at):  # about COMPARE pairs at once
+        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + COMPARE, "right")))
+        part, k = at[k:end], end
         n = count[part]
         which = np.repeat(np.arange(len(part)), n)
         within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         wide = (y - x)[part][which]
         left, right = a[part][which] + within // wide, x[part][which] + within % wide
-        near = (np.bitwise_count(fps[left] ^ fps[right]) <= budget) & (left != right)
+        ordered = left < right  # a node with itself has each pair twice
+        if not ordered.all():
+            left, right = left[ordered], right[ordered]
+        differ = np.bitwise_count(words[left, 0] ^ words[right, 0])
+        near = differ <= budget
+        for w in range(1, words.shape[1]):
+            left, right, differ = left[near], right[near], differ[near]
+            differ = differ + np.bitwise_count(words[left, w] ^ words[right, w])
+            near = differ <= budget
         if near.any():
-            found.link(left[near], right[near])
-    return rest
+            found.near(left[near], right[near])
+    return pairs[:, ~small]
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def deal(prints: DataFrame, n: int, budget: int, group: int, hot: int) -> DataFrame:
+    """g, fp: fingerprints by the groups in which they meet. Groups of over `hot` are dealt on by the bits in which their
+    fingerprints may still differ, so their rows grow by a fixed factor, whatever their size."""
+    spark, ways = prints.sparkSession, masks(n, budget, group)
+    rows = prints.select("fp", F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in ways])).alias("mask"))
+    rows = rows.withColumn("g", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+    large = common.table(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot).select("g", F.lit(True).alias("hot")), "large")
+    if large.isEmpty():
+        return rows.select("g", "fp")
+    rows = rows.join(large, "g", "left")
+    on = spark.createDataFrame([(signed(m), [signed(x) for x in finer(m, budget)]) for m in ways], "mask long, finer array<long>")
+    again = rows.where("hot").join(F.broadcast(on), "mask").select("fp", F.explode("finer").alias("mask"))
+    return rows.where("hot is null").select("g", "fp").unionByName(again.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("g"), "fp"))
 
 
 def links(prints: DataFrame, budget: int = BUDGET, group: int = GROUP, hot: int = HOT) -> DataFrame:
-    """Stars (a, b) that connect just what links within the budget connect; prints: a table of distinct `fp`."""
-    spark = prints.sparkSession
+    """Pairs (a, b) within the budget that connect just what all such pairs connect; prints: a table of distinct `fp`."""
     n = prints.count()
-    ways = masks(n, budget, group)
-    signed = [m - (1 << 64) if m >> 63 else m for m in ways]
-    dealt = prints.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("way", "mask"))
-    dealt = dealt.select("fp", "way", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    large = dealt.groupBy("way", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot)
-    large = common.table(large.select("way", "key", F.ceil(F.col("size") * 2 / F.lit(hot)).cast("int").alias("parts")), "large")
-    if large.isEmpty():
-        dealt = dealt.withColumn("pair", F.lit(0).cast("long"))
-    else:  # a part meets every part, itself included; pair numbers the two
-        dealt = dealt.join(large, ["way", "key"], "left").withColumn("p", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-        dealt = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        dealt = dealt.withColumn("pair", F.least("p", "q").cast("long") * (1 << 20) + F.greatest("p", "q"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(ways) // TASK + 1)
-    dealt = dealt.select("way", "key", "pair", "fp").repartition(tasks, "way", "key", "pair")
+    dealt = deal(prints, n, budget, group, hot)
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * len(masks(n, budget, group)) // TASK + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches]
         if not cols:
             return
-        way, key, pair, fp = (np.concatenate(x) for x in zip(*cols, strict=True))
-        for w in np.unique(way).tolist():
-            own = way == w
-            fps, keys, pairs = fp[own].view(np.uint64), key[own], pair[own]
-            order = np.lexsort((fps, pairs, keys))
-            fps, keys, pairs = fps[order], keys[order], pairs[order]
-            number = np.cumsum(np.concatenate([[True], (keys[1:] != keys[:-1]) | (pairs[1:] != pairs[:-1])])) if len(fps) else keys
-            label = trie_join(fps, number, ways[w], budget)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[linked].view(np.int64)), pa.array(fps[label[linked]].view(np.int64))], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def connected(edges: DataFrame, kind: str = "edges") -> DataFrame:
-    """node, root for each node of edges (a, b): the least node of its component. Each round, nodes hook to their least
-    neighbour, and edges go on between the nodes they lead to."""
-    edges = common.table(edges, kind)
+        group, fp = (np.concatenate(x) for x in zip(*cols, strict=True))
+        cols.clear()
+        fp = fp.view(np.uint64)
+        order = np.lexsort((fp, group))
+        group, fp = group[order], fp[order]
+        found = Forest(np.arange(len(fp)))
+        trie_join(fp[:, None], group, budget, found)
+        a, b = found.pairs()
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+
+    return common.map_batches(dealt.repartition(tasks, "g"), run, "a long, b long").distinct()
+
+
+def connected(edges: DataFrame, small: int = SMALL) -> DataFrame | None:
+    """node, root for each node of edges (a, b): the least node of its component; None if there is no edge. Each round,
+    nodes hook to their least neighbour in the order of a hash, which has no long chains, and edges go on between the
+    nodes they lead to, so rounds grow with the logarithm of the number of nodes. At most `small` edges are contracted in one
+    task."""
+    edges = common.table(edges.select("a", "b"), "edges")
     nodes = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = common.table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up")), "up")
-        top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        jump = common.table(up.join(top, "up").select(F.col("a").alias("node"), F.col("top").alias("root")), "jump")
+    while n := edges.count():
+        if n <= small:
+            jump = common.map_batches(edges.coalesce(1), _contract, "node long, root long")
+        else:
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("node")))
+            up = common.table(both.groupBy("a").agg(F.least(least, F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("node")))["node"].alias("up")), "up")
+            top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            jump = up.join(top, "up").select("a", F.col("top").alias("up"))
+            jump = jump.join(top, "up").select(F.col("a").alias("node"), F.col("top").alias("root"))
+        jump = common.table(jump, "jump")
         if nodes is None:
             nodes = jump
         else:
             step = jump.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            nodes = nodes.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        nodes = common.table(nodes, "nodes")
+            nodes = common.table(nodes.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "nodes")
+        if n <= small:
+            break
         a, b = (jump.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        edges = common.table(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), kind)
-    return nodes
+        edges = common.table(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+    if nodes is None or nodes is jump and n:
+        return nodes
+    return common.table(nodes.join(nodes.groupBy("root").agg(F.min("node").alias("least")), "root").select("node", F.col("least").alias("root")), "nodes")
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of the edges of one task."""
+    ends = [[x.to_numpy() for x in b.columns] for b in batches]
+    if ends:
+        names, at = np.unique(np.concatenate([np.concatenate(x) for x in zip(*ends, strict=True)]), return_inverse=True)
+        found = Forest(np.arange(len(names)))
+        found.near(*at.reshape(2, -1))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[found.label])], ["node", "root"])
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, budget: int = BUDGET) -> DataFrame:
@@ -265,7 +327,7 @@ def classes(docs: DataFrame, prints: DataFrame, nodes: DataFrame | None) -> Data
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, budget: int = BUDGET) -> DataFrame:
-    """df with one row of each component: one with the smallest id."""
+    """df with one row of each component: one with the smallest id, the first by its other columns as text."""
     return one_of_each(df, components(df, id_col, text_col, size, budget), id_col, lambda rows: fingerprints(rows, text_col, df.columns, size))
 
 
@@ -275,7 +337,7 @@ def one_of_each(df: DataFrame, found: DataFrame, id_col: str, named: Callable[[D
     found = common.table(found, "components")
     stays = F.col("id").eqNullSafe(F.col("component_id"))
     several = found.where(stays).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id")).where("n > 1")
-    unsure = df.sparkSession.sparkContext.broadcast(common.bitmap(found.where(~stays).select("id").unionByName(several.select("id")).select(F.xxhash64("id").alias("key"))))
+    unsure = common.share(df.sparkSession, common.bitmap(found.where(~stays).select("id").unionByName(several.select("id")).select(F.xxhash64("id").alias("key"))))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.col(id_col)).alias("key"))
 
     def part(sure: bool):
@@ -286,13 +348,14 @@ def one_of_each(df: DataFrame, found: DataFrame, id_col: str, named: Callable[[D
                 if len(at):
                     yield b.select(["row"]).take(pa.array(at))
 
-        return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+        return common.map_batches(rows, run, T.StructType([rows.schema["row"]])).select("row.*")
 
     prints = named(part(False))
     known = found.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "component_id", "root").distinct()
     told = prints.join(known, F.col("row")[id_col].eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")))
-    told = told.where(F.col("row")[id_col].eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    return part(True).unionByName(told.select("row.*"))
+    told = told.where(F.col("row")[id_col].eqNullSafe(F.col("component_id")))
+    first = F.min_by(F.struct("row.*"), F.xxhash64(F.col("row").cast("string"))).alias("row")
+    return part(True).unionByName(told.groupBy("root").agg(first).select("row.*"))
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

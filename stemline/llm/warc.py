@@ -64,7 +64,6 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", payload_col: str
     # Only rows of shared payloads look for their response; the others keep their place, so payloads aren't shuffled
     # where the shared ones fit in a broadcast, which Spark judges by size.
     rows = rows.join(shared, F.col("digest") == F.col("d"), "left").select("id", "uri", "payload", "digest", "first")
-    common.small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path, n_bytes, n = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
@@ -83,7 +82,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", payload_col: str
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n_bytes]), pa.array([n])], ["path", "n_bytes", "n_records"])
 
-    return common.table(rows.mapInArrow(run, "path string, n_bytes long, n_records long"), "manifest")
+    return common.table(common.map_batches(rows, run, "path string, n_bytes long, n_records long"), "manifest")
 
 
 class Source:
@@ -207,7 +206,7 @@ def read(manifest: DataFrame, with_payload: bool = True, range_bytes: int = RANG
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return ranges.mapInArrow(run, _OUT)
+    return common.map_batches(ranges, run, _OUT)
 
 
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

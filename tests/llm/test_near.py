@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity against brute force."""
+"""Near copies against brute force by exact Jaccard similarity."""
 
 import random
 from fractions import Fraction
@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from stemline.llm import jaccard
+from stemline.llm import near
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 LEAST = Fraction(4, 5)
@@ -24,12 +24,12 @@ def similar(a, b):
 def want(texts):
     """The smallest id of each text's component."""
     sets, label = {k: brute(t) for k, t in texts.items()}, {k: k for k in texts}
-    near = {a: [b for b in sets if similar(sets[a], sets[b])] for a in sets}
+    nearest = {a: [b for b in sets if similar(sets[a], sets[b])] for a in sets}
     changed = True
     while changed:
         changed = False
         for a in sets:
-            low = min(label[b] for b in near[a])
+            low = min(label[b] for b in nearest[a])
             changed, label[a] = changed or low < label[a], min(low, label[a])
     return label
 
@@ -50,13 +50,12 @@ def variants():
     return out
 
 
-@pytest.mark.parametrize("wide", [jaccard.WIDE, 2])
-def test_components_equal_brute_force_in_one_round_and_in_many(spark, monkeypatch, wide):
-    monkeypatch.setattr(jaccard, "WIDE", wide)
+@pytest.mark.parametrize("how", [{}, {"quota": 2, "hot": 20}])
+def test_components_equal_brute_force_in_few_rounds_and_in_many(spark, how):
     texts = variants()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     label = want(texts)
-    got = {r["id"]: r["component_id"] for r in jaccard.components(df, "doc_id", "text", 5, LEAST).collect()}
+    got = {r["id"]: r["component_id"] for r in near.components(df, "doc_id", "text", 5, LEAST, **how).collect()}
     assert got == label and 6 < len(set(label.values())) < len(texts)
 
 
@@ -68,22 +67,22 @@ def test_pipeline_drops_what_is_similar_and_nothing_else(spark):
     assert sorted(r["doc_id"] for r in kept) == [k for k in sorted(texts) if label[k] == k]
 
 
-def test_any_similar_sets_share_a_shingle_of_their_prefixes():
-    rng = np.random.default_rng(0)
-    none = np.zeros(0, np.uint64), np.zeros(0, int)
-    for n in (1, 2, 5, 9, 10, 50):
-        for _ in range(100):
-            a = rng.choice(200, n, replace=False).astype(np.uint64)
-            b = np.unique(np.concatenate([a[: n - n // 10], rng.choice(200, n // 10, replace=False).astype(np.uint64)]))
-            a = np.sort(a)
-            if similar(set(a.tolist()), set(b.tolist())):
-                assert np.intersect1d(jaccard.prefix(a, *none, LEAST), jaccard.prefix(b, *none, LEAST)).size
+def test_pairs_at_the_least_similarity_are_within_the_budget_and_agree_under_a_way():
+    rng, budget, met, close = np.random.default_rng(0), near.budget_of(LEAST), 0, 0
+    ways = near.ways_of(10**6, LEAST)
+    for _ in range(1000):
+        words = rng.integers(0, 1 << 63, 100).astype(np.uint64)  # of 90 each 80 are shared: a similarity of 0.8
+        a, b = (near.fingerprint(x) for x in (words[:90], words[10:]))
+        differ = [(x ^ y) % (1 << 64) for x, y in zip(a, b, strict=True)]
+        close += sum(x.bit_count() for x in differ) <= budget
+        met += any(not (differ[0] & m0 or differ[1] & m1) for m0, m1 in ways)
+    assert close >= 990 and met >= 980
 
 
 def test_odd_rows(odd, none):
-    got = {(r["id"], r["component_id"]) for r in jaccard.components(odd, "doc_id", "text", 5, LEAST).collect()}
+    got = {(r["id"], r["component_id"]) for r in near.components(odd, "doc_id", "text", 5, LEAST).collect()}
     assert got == {(1, 1), (2, 2), (3, 2), (None, 2), (None, None), (4, 4), (5, 5), (6, 6)}
-    kept = jaccard.keep_one(odd, size=5, least=LEAST)
+    kept = near.keep_one(odd, size=5, least=LEAST)
     assert kept.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "5", "6", "None"]
-    assert jaccard.keep_one(none, size=5, least=LEAST).count() == 0
+    assert near.keep_one(none, size=5, least=LEAST).count() == 0

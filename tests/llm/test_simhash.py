@@ -52,7 +52,12 @@ def test_trie_join_equals_brute_force(mask):
         fps, key = fps[order], key[order]
         number = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
         near = (np.bitwise_count(fps[:, None] ^ fps[None]) <= 4) & (key[:, None] == key[None])
-        assert (simhash.trie_join(fps, number, mask, 4) == classes(fps, near)).all()
+        found = simhash.Forest(np.arange(n))
+        found.label = found.label[: len(fps)]
+        simhash.trie_join(fps[:, None], number, 4, found)
+        assert (found.label == classes(fps, near)).all()
+        a, b = found.pairs()
+        assert near[a, b].all() and len(a) == len(fps) - len(set(found.label.tolist()))
 
 
 def test_a_dense_ball_costs_no_square():
@@ -62,7 +67,9 @@ def test_a_dense_ball_costs_no_square():
         fps = fps ^ (np.uint64(1) << rng.integers(0, 64, len(fps)).astype(np.uint64))
     fps = np.unique(fps)
     assert len(fps) > 100_000
-    assert not simhash.trie_join(fps, np.zeros(len(fps), int), 0, 4).any()
+    found = simhash.Forest(np.arange(len(fps)))
+    simhash.trie_join(fps[:, None], np.zeros(len(fps), int), 4, found)
+    assert not found.label.any()
 
 
 def test_any_pair_within_the_budget_agrees_under_a_mask():
@@ -72,6 +79,7 @@ def test_any_pair_within_the_budget_agrees_under_a_mask():
         for _ in range(300):
             diff = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(not diff & m for m in masks)
+            assert any(not diff & m for x in masks if not diff & x for m in simhash.finer(x, 4))
 
 
 @pytest.mark.parametrize("hot", [simhash.HOT, 4])
@@ -92,8 +100,29 @@ def test_components_equal_brute_force_with_and_without_hot_groups(spark, hot):
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (103, 102), (101, 103)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r["node"]: r["root"] for r in simhash.connected(df).collect()}
-    assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 104)}}
+    for small in (0, 3, simhash.SMALL):
+        got = {r["node"]: r["root"] for r in simhash.connected(df, small).collect()}
+        assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 104)}}
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    rounds, table = [], simhash.common.table
+    monkeypatch.setattr(simhash.common, "table", lambda df, name="t": rounds.append(name) or table(df, name))
+    got = simhash.connected(spark.range(1000).selectExpr("id as a", "id + 1 as b"), 0).collect()
+    assert {r["root"] for r in got} == {0} and len(got) == 1001
+    assert rounds.count("jump") <= 15
+
+
+def test_a_hot_group_ten_times_over_the_limit_is_dealt_on_in_linear_rows(spark):
+    rng, counts = random.Random(2), []
+    base = rng.getrandbits(64)
+    for n in (600, 1200):
+        fps = sorted({base ^ rng.getrandbits(64) & ~(simhash.masks(n, 4)[0]) for _ in range(n)})
+        prints = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+        dealt = simhash.deal(prints, len(fps), 4, 128, 60)
+        assert dealt.groupBy("g").count().where("count > 60").count() == 0
+        counts.append(dealt.count() / len(fps))
+    assert counts[1] < 1.1 * counts[0] < 1.1 * 5 * 1001
 
 
 def test_documents_equal_brute_force(spark):
