@@ -20,6 +20,9 @@ Copies. Equal texts are known by digest; the scans for contexts take one of them
 are repeats. A run of windows that equals the windows a period before it, as in a text that
 repeats itself, is settled at once where it stands.
 
+Words. A text may also be read as the names of its words, eight bytes each: then strings of LENGTH
+bytes are passages of 50 words, however they are spaced and however many bytes they have.
+
 Texts that no repeat touches never leave their task; the others are joined with their spans.
 
 A null text is empty. Texts under LENGTH bytes have no repeats. Ids aren't used: rows count by their
@@ -30,6 +33,7 @@ clash.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -44,11 +48,46 @@ from . import common
 
 LENGTH, GRAM, SHALLOW = 400, 32, 32
 REACH = LENGTH - GRAM  # the farthest an anchor lies from its window's start
-#: Windows scanned at once; contexts sorted at once (more if a group has more); anchors of a hot group; bits of a bitmap.
-PIECE, CHUNK, HOT, BITMAP = 1 << 19, 20_000, 100_000, common.BITMAP
+#: Windows scanned at once; contexts sorted at once (more if a group has more); anchors of a hot group.
+PIECE, CHUNK, HOT = 1 << 19, 20_000, 100_000
+#: Bytes of a word's name where texts are taken as words, and names that a task keeps.
+NAME, NAMES = 8, 200_000
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
+# -- units -----------------------------------------------------------------------------------------
+
+
+class Names(dict):
+    """Names of words, NAME bytes each."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        name = xxhash.xxh64_digest(word, 7)
+        if len(self) < NAMES:
+            self[word] = name
+        return name
+
+
+def reader(words: bool) -> Callable[[bytes], bytes]:
+    """What is searched of a text: its bytes, or the names of its words (parted at ASCII white space), so that LENGTH bytes
+    are LENGTH // NAME words whatever parts them."""
+    if not words:
+        return lambda payload: payload
+    name = Names().__getitem__
+    return lambda payload: b"".join(map(name, payload.split()))
+
+
+def byte_spans(payload: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of the names of a text's words as spans of its bytes, from a first word to a last one."""
+    whole = [(-(-a // NAME), b // NAME) for a, b in found]
+    whole = [(a, b) for a, b in whole if b - a >= LENGTH // NAME]
+    if not whole:
+        return []
+    ends = [m.span() for m in _WORD.finditer(payload)]
+    return [(ends[a][0], ends[b - 1][1]) for a, b in whole]
+
+
 # -- anchors ---------------------------------------------------------------------------------------
 
 
@@ -199,10 +238,10 @@ def deep_shallow(groups: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return order, lcp
 
 
-def repeated(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, least: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def repeated(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, least: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For each context (bytes of its windows; `left` of them before the anchor; windows begin `least` to `left` bytes
-    before the anchor; it stands for `weight` places) and each d: whether its window d bytes before the anchor comes again
-    in the group."""
+    before the anchor) and each d: whether its window d bytes before the anchor comes again in the group. low and high
+    are the least and the greatest number of the places a context stands for; equal numbers don't count as again."""
     n = len(contexts)
     right, before = np.zeros((n, LENGTH), np.uint8), np.zeros((n, REACH), np.uint8)
     for k, c in enumerate(contexts):
@@ -225,7 +264,7 @@ def repeated(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, least:
         turn = np.argsort(key)
         key = key[turn]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        many = np.add.reduceat(weight[own[turn]], starts) > 1
+        many = np.minimum.reduceat(low[own[turn]], starts) != np.maximum.reduceat(high[own[turn]], starts)
         out[own[turn], d] = np.repeat(many, np.diff(np.append(starts, len(key))))
     return out
 
@@ -277,9 +316,9 @@ class Context(NamedTuple):
 _CONTEXT = "hash long, digest binary, place long, left long, least long, id binary, bytes binary"
 
 
-def _contexts(shared, seen: set, payload: bytes, digest: bytes) -> Iterator[Context]:
+def _contexts(shared, seen: set, payload: bytes, digest: bytes, across: bool) -> Iterator[Context]:
     """The contexts of anchors whose bit is set; also, with left -1, spans settled on the spot (place to least)."""
-    found, spans = settle(payload, anchors(payload))
+    found, spans = (anchors(payload), []) if across else settle(payload, anchors(payload))
     key = _key(digest)
     for a, b in spans:
         yield Context(key, digest, a, -1, b, b"", None)
@@ -293,7 +332,7 @@ def _contexts(shared, seen: set, payload: bytes, digest: bytes) -> Iterator[Cont
         yield Context(h, digest, place, place - low, place - high, name, None if known else data)
 
 
-def _settle_groups(rows: list[Context]) -> Iterator[tuple[bytes, int, int]]:
+def _settle_groups(rows: list[Context], across: bool) -> Iterator[tuple[bytes, int, int]]:
     """digest, start, end of the repeats of whole groups."""
     groups: dict[int, dict[bytes, list[Context]]] = {}
     for r in rows:
@@ -306,24 +345,28 @@ def _settle_groups(rows: list[Context]) -> Iterator[tuple[bytes, int, int]]:
         if sum(map(len, own.values())) > 1:
             chunk += [(g, members) for members in own.values()]
         if len(chunk) >= CHUNK:
-            yield from _settle_chunk(chunk)
+            yield from _settle_chunk(chunk, across)
             chunk = []
     if chunk:
-        yield from _settle_chunk(chunk)
+        yield from _settle_chunk(chunk, across)
 
 
-def _settle_chunk(chunk: list[tuple[int, list[Context]]]) -> Iterator[tuple[bytes, int, int]]:
+def _settle_chunk(chunk: list[tuple[int, list[Context]]], across: bool) -> Iterator[tuple[bytes, int, int]]:
     firsts = [members[0] for _, members in chunk]
+    number: dict[bytes, int] = {}
+    own = [[number.setdefault(r.digest, len(number)) for r in members] if across else [k, k + (len(members) > 1)] for k, (_, members) in enumerate(chunk)]
+    if not across:  # a number for each context, none of another; two if it stands for several places
+        own = [[2 * a, 2 * a + b - a] for a, b in own]
     found = repeated(
         np.array([g for g, _ in chunk]), [next(r.bytes for r in members if r.bytes is not None) for _, members in chunk],
-        np.array([r.left for r in firsts]), np.array([r.least for r in firsts]), np.array([len(members) for _, members in chunk]),
+        np.array([r.left for r in firsts]), np.array([r.least for r in firsts]), np.array([min(x) for x in own]), np.array([max(x) for x in own]),
     )
     for k, first, last in zip(*(x.tolist() for x in runs(found)), strict=True):
         for r in chunk[k][1]:
             yield r.digest, r.place - last, r.place - first + LENGTH
 
 
-def _hot_spans(contexts: DataFrame) -> DataFrame:
+def _hot_spans(contexts: DataFrame, across: bool) -> DataFrame:
     """Spans of groups too large for a task: windows are counted by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,24 +378,28 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
                 low = r["place"] - r["left"]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([r["digest"]] * n, pa.binary()), pa.array([low + s for s in starts], pa.int64())], ["window", "digest", "start"])
 
-    windows = contexts.mapInArrow(run, "window binary, digest binary, start long")
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
+    windows = common.map_batches(contexts, run, "window binary, digest binary, start long")
+    again = F.min("digest") != F.max("digest") if across else F.count(F.lit(1)) > 1
+    twice = windows.groupBy("window").agg(again.alias("again")).where("again").select("window")
     return windows.join(twice, "window").select("digest", "start", (F.col("start") + LENGTH).alias("end"))
 
 
-def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
-    """digest, key, spans (array of struct start, end: maximal, in order) for each text that has repeats.
-    texts: one column, the payloads."""
+def spans(texts: DataFrame, bits: int | None = None, hot: int = HOT, words: bool = False, across: bool = False) -> DataFrame:
+    """digest, key, spans (array of struct start, end) for each text that has repeats. texts: one column, the payloads.
+    words: of names of words (see reader). across: only what comes again in another text, or in a copy."""
     spark = texts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def outline() -> Callable:
+        read = reader(words)
+
         def rows(payloads: list) -> list[tuple]:
             out = []
             for p in payloads:
-                if p is not None and len(p) >= LENGTH:
-                    digest = _digest(p)
-                    out.append((digest, _key(digest), len(p), settle(p, anchors(p))[0].hash.view(np.int64).tolist()))
+                if p is not None and len(p := read(p)) >= LENGTH:
+                    digest, found = _digest(p), anchors(p)
+                    hashes = np.unique(found.hash) if across else settle(p, found)[0].hash
+                    out.append((digest, _key(digest), len(p), hashes.view(np.int64).tolist()))
             return out
 
         return rows
@@ -366,26 +413,28 @@ def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
     n_contexts, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
 
     def single() -> Callable:
-        seen: set = set()
+        seen, read = set(), reader(words)
 
         def rows(payloads: list) -> list[tuple]:
             out = []
             for p in payloads:
-                if p is not None and len(p) >= LENGTH and not several.value.has(np.array([_key(d := _digest(p))]))[0]:
-                    out += _contexts(shared, seen, p, d)
+                if p is not None and len(p := read(p)) >= LENGTH and not several.value.has(np.array([_key(d := _digest(p))]))[0]:
+                    out += _contexts(shared, seen, p, d, across)
             return out
 
         return rows
 
     def one_of() -> Callable:
+        read = reader(words)
+
         def rows(payloads: list) -> list[tuple]:
-            return [(d, p) for p in payloads if p is not None and len(p) >= LENGTH and several.value.has(np.array([_key(d := _digest(p))]))[0]]
+            return [(d, p) for x in payloads if x is not None and len(p := read(x)) >= LENGTH and several.value.has(np.array([_key(d := _digest(p))]))[0]]
 
         return rows
 
     def of_copies() -> Callable:
         seen: set = set()
-        return lambda payloads: [c for p in payloads for c in _contexts(shared, seen, p, _digest(p))]
+        return lambda payloads: [c for p in payloads for c in _contexts(shared, seen, p, _digest(p), across)]
 
     one = _scan(texts, "digest binary, payload binary", one_of).groupBy("digest").agg(F.first("payload").alias("payload"))
     contexts = _scan(texts, _CONTEXT, single).unionByName(_scan(one.select("payload"), _CONTEXT, of_copies))
@@ -395,7 +444,7 @@ def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [Context(*x) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         out: list[tuple] = []
-        for r in _settle_groups(rows):
+        for r in _settle_groups(rows, across):
             out.append(r)
             if len(out) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["digest", "start", "end"])
@@ -404,75 +453,98 @@ def spans(texts: DataFrame, bits: int = BITMAP, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["digest", "start", "end"])
 
     usual = contexts if large is None else contexts.join(large, "hash", "left_anti")
-    found = usual.repartition(tasks, "hash").mapInArrow(run, "digest binary, start long, end long")
+    found = common.map_batches(usual.repartition(tasks, "hash"), run, "digest binary, start long, end long")
     if large is not None:
         # every context is needed whole here: a task's repeats of it are filled in from the one that has the bytes
         held = common.table(contexts.join(large, "hash", "left_semi"), "hot")
         whole = held.where("bytes is not null").groupBy("id").agg(F.first("bytes").alias("whole"))
-        found = found.unionByName(_hot_spans(held.join(whole, "id").withColumn("bytes", F.col("whole")).drop("whole")))
+        found = found.unionByName(_hot_spans(held.join(whole, "id").withColumn("bytes", F.col("whole")).drop("whole"), across))
     found = found.unionByName(copied.select("digest", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
     lists = found.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     key = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("key")
     return common.table(lists.select("digest", key, "spans"), "spans")
 
 
-_OUT = [("n_bytes", "long", pa.int64()), ("spans", "array<struct<start:long,end:long>>", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", "binary", pa.binary())]
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_DDL = "array<struct<start:long,end:long>>"
+_OUT = [("n_bytes", "long", pa.int64()), ("spans", _DDL, _SPANS), ("passages", _DDL, _SPANS), ("kept", "binary", pa.binary())]
 
 
-def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, bits: int = BITMAP) -> DataFrame:
-    """`row` with the columns of carry (None: all but the text), n_bytes, `spans` (maximal runs of removed bytes, in order)
-    and `kept`, the other bytes. df is read four times."""
+def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None, bits: int | None = None, words: bool = False, passages: bool = False) -> DataFrame:
+    """`row` with the columns of carry (None: all but the text), n_bytes, `spans` (maximal runs of removed bytes, in order),
+    `passages` (of bytes, in order; empty unless asked for) and `kept`, the bytes without spans. words: strings are of LENGTH //
+    NAME words, whatever parts these, and spans go from a first word to a last one. passages: also tells what strings of so
+    many words come again in another text or copy, and leaves them. df is read four times, for passages three times more."""
     spark = df.sparkSession
     carry = [c for c in df.columns if c != text_col] if carry is None else carry
     payload = F.coalesce(common.as_bytes(f"`{text_col}`"), F.lit(b""))
-    found = spans(df.select(payload.alias("payload")), bits)
-    touched = common.share(spark, common.bitmap(found, bits))
+    texts = df.select(payload.alias("payload"))
+    kinds = [words, True] if passages else [words]  # whether names of words are searched
+    found = [spans(texts, bits, words=w, across=k == 1) for k, w in enumerate(kinds)]
+    touched = [common.share(spark, common.bitmap(x, bits)) for x in found]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), payload.alias("payload"))
     row = rows.schema["row"]
 
     def split(whole: bool) -> Callable:
-        """Rows that no span touches, finished; or the others, with their digest."""
+        """Rows that no span touches, finished; or the others, with their digests."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            read = [reader(w) for w in kinds]
             for b in batches:
                 payloads = b.column(1).to_pylist()
-                digests = [_digest(p) for p in payloads]
-                hit = touched.value.has(np.array([_key(d) for d in digests], np.int64)) if digests else np.zeros(0, bool)
+                digests = [[_digest(f(p)) for p in payloads] for f in read]
+                hit = np.zeros(len(payloads), bool)
+                for t, own in zip(touched, digests, strict=True):
+                    hit |= t.value.has(np.array([_key(d) for d in own], np.int64))
                 at = np.flatnonzero(~hit if whole else hit)
                 if len(at):
                     part = b.take(pa.array(at))
                     if whole:
-                        cols = [part.column(0), pa.array([len(payloads[k]) for k in at], pa.int64()), pa.array([[]] * len(at), _OUT[1][2]), part.column(1)]
-                        yield pa.RecordBatch.from_arrays(cols, ["row", *[x[0] for x in _OUT]])
+                        none = pa.array([[]] * len(at), _SPANS)
+                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(payloads[k]) for k in at], pa.int64()), none, none, part.column(1)], ["row", *[x[0] for x in _OUT]])
                     else:
-                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([digests[k] for k in at], pa.binary())], ["row", "payload", "digest"])
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([own[k] for k in at], pa.binary()) for own in digests]], names)
 
         return run
 
-    done = T.StructType([row])
+    names = ["row", "payload", *[f"d{k}" for k in range(len(kinds))]]
+    done, marked = T.StructType([row]), T.StructType([row])
     for name, ddl, _ in _OUT:
         done.add(name, T._parse_datatype_string(ddl))
+    for name in names[1:]:
+        marked.add(name, T.BinaryType())
     clean = common.map_batches(rows, split(True), done)
-    rest = common.map_batches(rows, split(False), T.StructType([row]).add("payload", T.BinaryType()).add("digest", T.BinaryType()))
-    rest = rest.join(found.select("digest", "spans"), "digest", "left").select("row", "payload", "spans")
+    rest = common.map_batches(rows, split(False), marked)
+    for k, x in enumerate(found):
+        rest = rest.join(x.select(F.col("digest").alias(f"d{k}"), F.col("spans").alias(f"s{k}")), f"d{k}", "left")
+    rest = rest.select("row", "payload", *[f"s{k}" for k in range(len(kinds))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, gone, kept = [], [], []
-            for p, had in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = union([(s["start"], s["end"]) for s in had or ()])
-                edges = [0, *[x for s in own for x in s], len(p)]
+            sizes, told, kept = [], [[], []], []
+            payloads = b.column(1).to_pylist()
+            for p, *had in zip(payloads, *[b.column(2 + k).to_pylist() for k in range(len(kinds))], strict=True):
+                own = [union([(s["start"], s["end"]) for s in h or ()]) for h in had]
+                own = [union(byte_spans(p, x)) if w else x for w, x in zip(kinds, own, strict=True)]
+                edges = [0, *[x for s in own[0] for x in s], len(p)]
                 sizes.append(len(p))
-                gone.append([{"start": x, "end": y} for x, y in own])
+                for out, x in zip(told, [*own, []], strict=False):
+                    out.append([{"start": a, "end": e} for a, e in x])
                 kept.append(b"".join([p[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, _OUT[1][2]), pa.array(kept, pa.binary())], ["row", *[x[0] for x in _OUT]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *[pa.array(x, _SPANS) for x in told], pa.array(kept, pa.binary())], ["row", *[x[0] for x in _OUT]])
 
     return clean.unionByName(common.map_batches(rest, cut, done))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove(common.documents(spark, sf_dir), carry=["doc_id"])
+    """The digest by strings of LENGTH bytes, and beside it n_passages and n_passage_bytes: of passages of 50 words or more
+    that come again in another document, be they of LENGTH bytes or not."""
+    out = remove(common.documents(spark, sf_dir), carry=["doc_id"], passages=True)
+
+    def total(spans: str):
+        return F.expr(f"aggregate({spans}, 0L, (x, s) -> x + s.end - s.start)")
+
     return out.select(
-        "row.doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (x, s) -> x + s.end - s.start)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        "row.doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"), total("passages").alias("n_passage_bytes"),
     )

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from stemline.llm import common, decontamination, repeats, simhash  # noqa: E402
+from stemline.llm import common, decontamination, repeats  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
-def hamming(a, b):
-    return (a ^ b).bit_count()
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
 
 
 def test_stages_equal_brute_force(spark):
@@ -24,13 +25,13 @@ def test_stages_equal_brute_force(spark):
     assert {k for k, r in rows.items() if r["lang"] and len(r["text"]) > 20} <= set(kept) and all(kept[k] == rows[k] for k in kept)
 
     second = common.table(corpus_pipeline.near_dedup(spark, first, SF))
-    fps = {k: simhash.fingerprint(r["text"].encode(), corpus_pipeline.SHINGLE) % (1 << 64) for k, r in kept.items()}
+    sets = {k: shingles(r["text"]) for k, r in kept.items()}
     label = {k: k for k in kept}
     changed = True
     while changed:
         changed = False
         for a in kept:
-            low = min(label[b] for b in kept if hamming(fps[a], fps[b]) <= corpus_pipeline.BITS)
+            low = min(label[b] for b in kept if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
             changed, label[a] = changed or low < label[a], min(low, label[a])
     assert {r["doc_id"] for r in second.collect()} == {k for k in kept if label[k] == k} and second.columns == columns
 

@@ -46,12 +46,71 @@ def cut(t, spans):
 
 @pytest.mark.parametrize(("seed", "alphabet", "hot", "bits"), [(1, b"ab", repeats.HOT, 27), (2, b"abcdefgh ", 3, 20), (3, bytes(range(32, 127)), repeats.HOT, 8), (4, b"a", 2, 20)])
 def test_equals_brute_force(spark, monkeypatch, seed, alphabet, hot, bits):
-    monkeypatch.setattr(repeats.spans, "__defaults__", (bits, hot))
+    monkeypatch.setattr(repeats.spans, "__defaults__", (bits, hot, False, False))
     texts = strings(seed, list(alphabet)) + strings(seed + 10, list(alphabet))
     df = spark.createDataFrame([(k, t.decode(), 1.0, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans double, kept string").repartition(3)
     assert found(df, bits=bits) == [(k, len(t), s, cut(t, s)) for k, (t, s) in enumerate(zip(texts, brute(texts), strict=True))]
 
 
+def passage_texts(seed):
+    rng = random.Random(seed)
+
+    def some(n):
+        return [rng.choice("ab cd efg hijkl") + str(rng.randrange(50)) for _ in range(n)]
+
+    passages = [some(n) for n in (49, 50, 51, 80, 200)]
+    out = []
+    for _ in range(14):
+        words = some(rng.randrange(30))
+        for _ in range(rng.randrange(3)):
+            words += rng.choice(passages) + some(rng.randrange(1, 20))
+        out.append("  ".join(words) if rng.random() < 0.3 else " ".join(words))
+    return [*out, out[0], " ".join(["x"] * 300), "\n".join(["y", "z"] * 60) + " x" * 120, ""]
+
+
+def brute_words(texts, across):
+    """Spans of bytes of 50 words that come again, and of those that do in another text."""
+    places = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 49):
+            places.setdefault(tuple(w[i : i + 50]), []).append(k)
+    out = []
+    for t in texts:
+        w, ends, at = t.split(), [], 0
+        for x in w:
+            at = t.index(x, at)
+            ends.append((at, at + len(x)))
+            at += len(x)
+        hit = []
+        for i in range(len(w) - 49):
+            p = places[tuple(w[i : i + 50])]
+            if len(set(p) if across else p) > 1:
+                hit.append(i)
+        runs = repeats.union([(i, i + 50) for i in hit])
+        out.append([(ends[a][0], ends[b - 1][1]) for a, b in runs])
+    return out
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_words_and_passages_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats.spans, "__defaults__", (None, hot, False, False))
+    texts = passage_texts(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["row"]["doc_id"]: r for r in repeats.remove(df, words=True, passages=True).collect()}
+    assert len(got) == len(texts)
+
+    def of(k, name):
+        return [(s["start"], s["end"]) for s in got[k][name]]
+
+    assert [of(k, "spans") for k in range(len(texts))] == brute_words(texts, False)
+    assert [of(k, "passages") for k in range(len(texts))] == brute_words(texts, True)
+    assert any(of(k, "spans") != of(k, "passages") for k in range(len(texts)))
+    plain = {r["row"]["doc_id"]: r for r in repeats.remove(df, passages=True).collect()}
+    assert [[(s["start"], s["end"]) for s in plain[k]["spans"]] for k in range(len(texts))] == brute([t.encode() for t in texts])
+    assert [plain[k]["passages"] for k in range(len(texts))] == [got[k]["passages"] for k in range(len(texts))]
+
+
 def test_spans_cut_through_characters(spark):
     texts = ["é" * 300 + "x", "y" + "é" * 300, "ab" * 300]
     data = [t.encode() for t in texts]
