@@ -11,14 +11,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm import common, decontamination, jaccard, language, packing, repeats, tokens
+from stemline.llm import common, decontamination, language, near, packing, repeats, tokens
 
 #: Texts whose language is less certain than this are rejected.
 LEAST_SCORE = 0.5
 #: Near copies: words of a shingle, and the least Jaccard similarity of their sets of shingles.
 SHINGLE, SIMILAR = 5, Fraction(4, 5)
-#: Bits of fingerprints that linked near copies before. The stage doesn't read it; test_stages_equal_brute_force does.
-BITS = 7
 #: A worker's dictionaries of ids, smaller than the packing operator's own: the other stages have used memory before.
 PARTS, SEGMENTS = 100_000, 200_000
 
@@ -35,41 +33,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each component that near copies of a similarity of SIMILAR or more link."""
-    return jaccard.keep_one(docs, size=SHINGLE, least=SIMILAR)
+    common.rest()
+    return near.keep_one(docs, size=SHINGLE, least=SIMILAR)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that come again anywhere; characters that a cut breaks go too. n_chars follows the text.
-    Documents of which only white space is left, having lost the rest, go."""
-    found = repeats.remove(docs)
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(_whole_characters("kept"))
-    changed = found.select("row.*", text.alias("text"), (F.size("spans") > 0).alias("__cut"))
-    changed = changed.where(~F.col("__cut") | F.col("text").rlike(r"\S"))
+    """Texts without the passages of 50 words or more that come again anywhere. n_chars follows the text. Documents of which
+    only white space is left, having lost the rest, go."""
+    common.rest()
+    found = repeats.remove(docs, words=True)
+    cut, text = F.size("spans") > 0, F.col("kept").cast("string")
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(docs.columns)
-
-
-def _whole_characters(col: str):
-    """Bytes as text, without broken characters. A text's own replacement characters stand for none here."""
-    return F.replace(F.expr(f"make_valid_utf8(cast({col} as string))"), F.lit("�"), F.lit(""))
+        new["n_chars"] = F.when(cut, F.char_length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.where(~cut | text.rlike(r"\S")).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
+    common.rest()
     found = decontamination.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("spans") == 0).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences."""
+    common.rest()
     pieces = packing.pack(docs, tokens.vocabulary("byte_bpe_50k.json"), carry=["doc_id"], parts=PARTS, segments=SEGMENTS)
     return pieces.select("row.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_id")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontaminate", decontaminate), ("pack", pack)]
 
-#: Fingerprints, suffix sorting and tokenizers aren't SQL: tests hold run() against brute force.
+#: SimHash, suffix sorting and tokenizers aren't SQL: tests hold run() against brute force.
 ORACLE_SQL = None
 
 
