@@ -9,19 +9,19 @@ by text. It covers whole texts, long ones in pieces that overlap by ORDERS - 1.
 Fitting may use a bounded sample: about max_rows rows, those with the smallest hashes of their id,
 of the rows that have a label. Nothing else is sampled.
 
-A text that is null or has no letter is `und` with score 0, and so is every text if there is no
+A text that is null or has no letter (of Unicode category L) is `und` with score 0, and so is every text if there is no
 labelled row. Rows without a label aren't learned from. Ties go to the first label in order.
 Columns of the input travel in a struct, so their names can't clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ ORDERS, BITS, ALPHA, MAX_ROWS, MAX_LABELS = 3, 16, 0.1, 20_000, 1000
 EVIDENCE = 48
 UNKNOWN = "und"
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 

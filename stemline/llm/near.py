@@ -12,14 +12,15 @@ fingerprints by some of their bits, more bits for more fingerprints, so groups s
 average at any size. In each group SimHash's trie self-join finds the pairs within the budget.
 
 Links. Candidates are compared by their whole sets, so nothing below `least` is linked. The first
-ways find most copies; the sets that the links connect don't meet again in the other ways. In
-each, a task first returns the pairs that join components of its groups. Where a component has over two sets,
-more pairs may count, as some returned ones may fail: its sets meet again, and each set's pairs with
-sets of other components that weren't compared are returned, QUOTA a set, then QUOTA ** 2, and so on
-until none is left. So no group's pairs are listed but those that may still join components.
+ways find most copies; what links connect doesn't meet again in the other ways. In both, a task
+returns the pairs that join components of its groups, the nearest first. Some of these fail, and then
+others of the component may count. So components of candidates that links don't connect whole are
+searched again at the end, with their sets at hand: in each the trie self-join compares all pairs within
+the budget that aren't linked by then. Nothing is listed but links.
 
-Groups over HOT are dealt in parts first, and then meet again as above: the sets of the component
-that has most of a group stay in their part, and the others go to all parts.
+Hot groups. Groups over HOT are dealt in parts, and their sets count as one component of candidates.
+A component of over BYTES of sets is dealt in parts for the last search: the sets of the linked component
+that has most of it stay in one part, and the others go to all parts.
 
 component_id is the smallest id of a component; null ids count only where there is no other.
 """
@@ -39,15 +40,44 @@ from pyspark.sql import functions as F
 from . import common, simhash
 
 BITS, MISSED = 128, 0.01
-#: Ways of the first part; sets of a group on the average, and before it is dealt in parts; rows of a task; pairs of a set in the second round.
-FIRST, GROUP, HOT, TASK, QUOTA = 3, 128, 20_000, 250_000, 16
-#: Pairs that a task holds before it drops those over the quota.
-HELD = 1 << 20
-
-
-def shingles(payload: bytes | None, size: int) -> np.ndarray:
-    """The hashes of a text's shingles, sorted, each once."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash._hashes(payload or b"", size)]))
+#: Ways of the first part; sets of a group on the average, and before it is dealt in parts; rows of a task; bytes of sets of a task.
+FIRST, GROUP, HOT, TASK, BYTES = 3, 128, 20_000, 250_000, 24 << 20
+#: Words whose hashes a task keeps.
+WORDS = 200_000
+
+
+class Hashes(dict):
+    """Hashes of words, eight bytes each."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        name = xxhash.xxh64_digest(word, simhash.SEED)
+        if len(self) < WORDS:
+            self[word] = name
+        return name
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+def shingles(payload: bytes | None, size: int, known: Hashes | None = None) -> np.ndarray:
+    """The hashes of a text's shingles, made of the hashes of their words; sorted, each once."""
+    name, parts, at = (Hashes() if known is None else known).__getitem__, [], 0
+    payload = payload or b""
+    while at < len(payload):  # a piece of the text at a time
+        end = len(payload)
+        if end - at > simhash.PIECE and (m := simhash._SPACE.search(payload, at + simhash.PIECE)):
+            end = m.end()
+        parts.append(np.frombuffer(b"".join(map(name, payload[at:end].lower().split())), "<u8"))
+        at = end
+    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    many = min(size, len(words))
+    out = np.zeros(len(words) - many + 1 if many else 0, np.uint64)
+    for k in range(many):
+        out = _mixed(out + words[k : k + len(out)] + np.uint64(many))
+    return np.unique(out)
 
 
 def set_id(own: np.ndarray) -> int:
@@ -61,9 +91,7 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
         counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + simhash._LANES).ravel(), minlength=2048) if len(h) else np.zeros(2048, int)
         ones = counts.reshape(8, 256) @ simhash._BITS
         out.append(int.from_bytes(np.packbits(ones[::-1] * 2 > len(own), axis=1).tobytes(), signed=True))
-        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        h = _mixed(h)
     return tuple(out)
 
 
@@ -71,8 +99,10 @@ def prints(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id, sid, f0, f1 of each row."""
 
     def start():
+        known = Hashes()
+
         def run(texts: list) -> tuple:
-            own = [shingles(t, size) for t in texts]
+            own = [shingles(t, size, known) for t in texts]
             words = [fingerprint(x) for x in own]
             return [set_id(x) for x in own], [x[0] for x in words], [x[1] for x in words]
 
@@ -114,127 +144,108 @@ def ways_of(n: int, least: Fraction, group: int = GROUP) -> list[tuple[int, int]
     return out
 
 
-class Listing:
-    """Pairs of different components (label) in the order of places, `quota` for each lesser place; over: places that have more."""
-
-    def __init__(self, label: np.ndarray, tested: np.ndarray, name, quota: int) -> None:
-        self.label, self.tested, self.name, self.quota = label, tested, name, quota
-        self.a, self.b, self.over = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(label), bool)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> None:
-        new = self.label[a] != self.label[b]
-        a, b = a[new], b[new]
-        if len(self.tested) and len(a):
-            new = ~np.isin(self.name(a, b), self.tested)
-            a, b = a[new], b[new]
-        if len(a):
-            self.held.append((a, b))
-            self.size += len(a)
-            if self.size > HELD:
-                self.settle()
-
-    def settle(self) -> None:
-        a, b = (np.concatenate([x, *y]) for x, y in ((self.a, [h[0] for h in self.held]), (self.b, [h[1] for h in self.held])))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
-        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-        far = rank >= self.quota
-        self.over[a[far]] = self.over[b[far]] = True
-        self.a, self.b = a[rank < self.quota], b[rank < self.quota]
-        self.held, self.size = [], 0
-
-
-def _name(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A pair's name, whatever its order."""
-    return (x ^ y) * np.int64(0x1E3779B97F4A7C15) + x + y
-
-
-def meet(g: np.ndarray, sid: np.ndarray, words: np.ndarray, root: np.ndarray, tested: np.ndarray, budget: int, quota: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of sids within the budget in one group but not of one root, and sids that may have more; quota 0:
-    pairs that join components."""
+def meet(g: np.ndarray, words: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by group and fingerprint, and in that order the first place of each group's rows of one root."""
     order = np.lexsort((*words.T[::-1], g))
-    g, sid, words, root = g[order], sid[order], words[order], root[order]
-    n = len(sid)
-    by = np.lexsort((np.arange(n), root, g))
-    new = np.concatenate([[True], (g[by][1:] != g[by][:-1]) | (root[by][1:] != root[by][:-1])])
-    label = np.empty(n, np.int64)
+    g, root = g[order], root[order]
+    by = np.lexsort((np.arange(len(g)), root, g))
+    new = np.concatenate([[True], (g[by][1:] != g[by][:-1]) | (root[by][1:] != root[by][:-1])]) if len(g) else np.zeros(0, bool)
+    label = np.empty(len(g), np.int64)
     label[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-    if quota:
-        found = Listing(label, np.sort(tested), lambda a, b: _name(sid[a], sid[b]), quota)
-        simhash.trie_join(words, g, budget, found, LEAF)
-        found.settle()
-        return sid[found.a], sid[found.b], np.unique(sid[found.over])
-    found = simhash.Forest(label)
-    simhash.trie_join(words, g, budget, found, LEAF)
-    a, b = found.pairs()
-    size, joined = np.bincount(label, minlength=n), np.zeros(n, bool)
-    joined[label[a]] = True
-    return sid[a], sid[b], np.unique(sid[joined[label] & (size[label] > 2)])
+    return order, label
+
+
+class Exact(simhash.Forest):
+    """Joins only pairs whose sets have a similarity of least or more."""
+
+    def __init__(self, label: np.ndarray, sets: list[np.ndarray], least: Fraction) -> None:
+        super().__init__(label)
+        self.sizes, self.least = np.array([len(x) for x in sets], np.int64), least
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        names, self.flat = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+
+    def near(self, a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> None:
+        order = np.lexsort((a, differ >> 2))  # the nearest first
+        a, b, step = a[order], b[order], differ[order] >> 2
+        edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (step[1:] != step[:-1])]))
+        for x, y in zip(edge.tolist(), [*edge[1:].tolist(), len(a)], strict=True):
+            one, others = a[x], b[x:y]
+            others = others[self.label[others] != self.label[one]]
+            if len(others):
+                near = others[self.alike(one, others)]
+                super().near(np.full(len(near), one), near)
+
+    def alike(self, one: int, others: np.ndarray) -> np.ndarray:
+        own, n = self.flat[self.starts[one] : self.starts[one] + self.sizes[one]], self.sizes[others]
+        ends = np.cumsum(n)
+        self.mark[own] = True
+        hit = np.concatenate([[0], np.cumsum(self.mark[self.flat[np.repeat(self.starts[others] - (ends - n), n) + np.arange(ends[-1])]])])
+        self.mark[own] = False
+        both = hit[ends] - hit[ends - n]
+        return both * self.least.denominator >= self.least.numerator * (len(own) + n - both)
 
 
 #: Node pairs of so many pairs of sets are compared: most groups part in few steps, and differ in half their bits.
 LEAF = 256
 
 
-def candidates(rows: DataFrame, ways: list[tuple[int, int]], budget: int, quota: int, hot: int) -> DataFrame:
-    """Pairs (a, b) of sids, and rows (a, null): sids that meet again. rows: sid, f0, f1, root, tested."""
+def candidates(rows: DataFrame, ways: list[tuple[int, int]], budget: int, hot: int) -> DataFrame:
+    """a, b, near: pairs of sids within the budget that join components of their groups; and, not near, the sids of a hot
+    group, each with one of them. rows: sid, f0, f1, root."""
     spark = rows.sparkSession
     masks = F.array(*[F.struct(F.lit(k).alias("way"), *[F.lit(simhash.signed(m)).cast("long").alias(f"m{i}") for i, m in enumerate(w)]) for k, w in enumerate(ways)])
     dealt = rows.select("*", F.explode(masks).alias("m"))
     key = F.xxhash64("m.way", F.col("f0").bitwiseAND(F.col("m.m0")), F.col("f1").bitwiseAND(F.col("m.m1")))
-    dealt = dealt.select(key.alias("g"), "sid", "f0", "f1", "root", "tested")
-    sizes = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > hot)
-    sizes = common.table(sizes.select("g", F.ceil(F.col("size") / F.lit(hot)).cast("int").alias("parts")), "large")
-    n = rows.count() * len(ways)
-    again = None
+    dealt = dealt.select(key.alias("g"), "sid", "f0", "f1", "root")
+    sizes = dealt.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("one")).where(F.col("size") > hot)
+    sizes = common.table(sizes.select("g", "one", F.ceil(F.col("size") / F.lit(hot)).cast("int").alias("parts")), "large")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * len(ways) // TASK + 1)
+    together = None
     if not sizes.isEmpty():
-        part = F.pmod(F.xxhash64("sid", "g"), "parts").cast("int")
-        if quota:
-            roots = dealt.join(sizes, "g").groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"))
-            major = common.table(roots.groupBy("g").agg(F.max_by("root", "n").alias("major")), "major")
-            dealt = dealt.join(sizes.join(major, "g"), "g", "left")
-            dealt = dealt.withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("major"), F.array(part)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-        else:
-            dealt = dealt.join(sizes, "g", "left").withColumn("part", F.coalesce(part, F.lit(0)))
-            again = dealt.where("parts is not null").select(F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"))
-        dealt = dealt.withColumn("g", F.when(F.col("parts").isNull(), F.col("g")).otherwise(F.xxhash64("g", "part")))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK + 1)
+        dealt = dealt.join(sizes, "g", "left")
+        together = dealt.where("one <> sid").select(F.col("one").alias("a"), F.col("sid").alias("b"), F.lit(False).alias("near"))
+        dealt = dealt.withColumn("g", F.when(F.col("parts").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.pmod(F.xxhash64("sid", "g"), "parts"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, tested = [], [np.zeros(0, np.int64)]
-        for x in batches:
-            cols.append([x.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
-            if quota:  # names of pairs that were compared before
-                lists = x.column(5)
-                tested.append(_name(np.repeat(cols[-1][1], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)))
+        cols = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches]
         if not cols:
             return
         g, sid, f0, f1, root = (np.concatenate(x) for x in zip(*cols, strict=True))
         cols.clear()
-        a, b, more = meet(g, sid, np.stack([f0, f1], axis=1).view(np.uint64), root, np.concatenate(tested), budget, quota)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([low, more])), pa.concat_arrays([pa.array(high), pa.nulls(len(more), pa.int64())])], ["a", "b"])
+        words = np.stack([f0, f1], axis=1).view(np.uint64)
+        order, label = meet(g, words, root)
+        found = simhash.Forest(label)
+        simhash.trie_join(words[order], g[order], budget, found, LEAF)
+        a, b = (sid[order[x]] for x in found.pairs())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a), bool))], ["a", "b", "near"])
 
-    found = common.map_batches(dealt.select("g", "sid", "f0", "f1", "root", "tested").repartition(tasks, "g"), run, "a long, b long")
-    return (found if again is None else found.unionByName(again)).distinct()
+    found = common.map_batches(dealt.select("g", "sid", "f0", "f1", "root").repartition(tasks, "g"), run, "a long, b long, near boolean")
+    return (found if together is None else found.unionByName(together)).distinct()
 
 
-def similar(df: DataFrame, ids: DataFrame, pairs: DataFrame, text_col: str, id_col: str, size: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of least or more. ids: sid, `least` (an id that has it). Only the sets
-    of pairs are shuffled: a bitmap of ids tells their rows."""
-    wanted = common.table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(ids, "sid").select("sid", "least"), "wanted")
+def sets_of(df: DataFrame, wanted: DataFrame, text_col: str, id_col: str, size: int) -> DataFrame:
+    """sid, set (little-endian unsigned 64-bit) of wanted (sid, `least`: an id that has it). Only these sets are shuffled:
+    a bitmap of ids tells their rows."""
     needed = common.share(df.sparkSession, common.bitmap(wanted.select(F.xxhash64("least").alias("key"))))
     rows = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("key"), common.as_bytes(f"`{text_col}`").alias("payload"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
             at = np.flatnonzero(needed.value.has(b.column(0).to_numpy()))
-            own = [shingles(x, size) for x in b.column(1).take(pa.array(at)).to_pylist()]
+            own = [shingles(x, size, known) for x in b.column(1).take(pa.array(at)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], ["sid", "set"])
 
+    found = common.map_batches(rows, some, "sid long, set binary").join(wanted.select("sid"), "sid", "left_semi")
+    return common.table(found.groupBy("sid").agg(F.first("set").alias("set")), "sets")
+
+
+def similar(df: DataFrame, ids: DataFrame, pairs: DataFrame, text_col: str, id_col: str, size: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of least or more. ids: sid, least."""
+    wanted = common.table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(ids, "sid").select("sid", "least"), "wanted")
+    sets = sets_of(df, wanted, text_col, id_col, size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []
@@ -243,41 +254,70 @@ def similar(df: DataFrame, ids: DataFrame, pairs: DataFrame, text_col: str, id_c
                 near.append(both * least.denominator >= least.numerator * ((len(x) + len(y)) // 8 - both))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sets = common.map_batches(rows, some, "sid long, set binary").join(wanted.select("sid"), "sid", "left_semi")
-    sets = common.table(sets.groupBy("sid").agg(F.first("set").alias("set")), "sets")
     whole = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b")
     return common.map_batches(whole.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def links(df: DataFrame, ids: DataFrame, text_col: str, id_col: str, size: int, least: Fraction, first: int = FIRST, quota: int = QUOTA, hot: int = HOT) -> DataFrame | None:
+def searched(df: DataFrame, ids: DataFrame, groups: DataFrame, text_col: str, id_col: str, size: int, least: Fraction, budget: int, limit: int) -> DataFrame:
+    """Pairs (a, b) of linked sets that join the roots of a group wherever sets within the budget do. groups: sid, g, root."""
+    spark = df.sparkSession
+    rows = groups.join(ids, "sid")
+    sets = sets_of(df, rows.select("sid", "least"), text_col, id_col, size)
+    rows = rows.join(sets, "sid").select("g", "sid", "f0", "f1", "root", "set")
+    heavy = rows.groupBy("g", "root").agg(F.sum(F.octet_length("set")).alias("b")).groupBy("g").agg(F.sum("b").alias("b"), F.max_by("root", "b").alias("major"))
+    heavy = common.table(heavy.select("g", "b", "major", F.ceil(F.col("b") / F.lit(limit)).cast("int").alias("parts")), "heavy")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(heavy.agg(F.sum("b")).first()[0] or 0) // limit + 1)
+    part = F.pmod(F.xxhash64("sid"), "parts").cast("int")
+    rows = rows.join(heavy, "g").withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), F.array(part)).otherwise(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, sets = [], []
+        for x in batches:
+            cols.append([x.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            sets += [np.frombuffer(y, "<u8") for y in x.column(5).to_pylist()]
+        if not cols:
+            return
+        g, sid, f0, f1, root = (np.concatenate(x) for x in zip(*cols, strict=True))
+        words = np.stack([f0, f1], axis=1).view(np.uint64)
+        order, label = meet(g, words, root)
+        found = Exact(label, [sets[k] for k in order.tolist()], least)
+        simhash.trie_join(words[order], g[order], budget, found, LEAF)
+        a, b = (sid[order[x]] for x in found.pairs())
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    dealt = rows.select(F.xxhash64("g", "part").alias("g"), "sid", "f0", "f1", "root", "set").repartition(tasks, "g")
+    return common.map_batches(dealt, run, "a long, b long").distinct()
+
+
+def links(df: DataFrame, ids: DataFrame, text_col: str, id_col: str, size: int, least: Fraction, first: int = FIRST, hot: int = HOT, limit: int = BYTES) -> DataFrame | None:
     """node, root of simhash.connected for the sids that have a link; None: there is none. ids: sid, f0, f1, least."""
     ways, budget = ways_of(ids.count(), least), budget_of(least)
-    edges, nodes, failed = None, None, None
+    edges, nodes, met = None, None, None
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if nodes is None:
+            return rows.withColumn("root", F.col("sid"))
+        return rows.join(nodes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
     for part in (ways[:first], ways[first:]):
-        rows, most = ids.select("sid", "f0", "f1"), 0
-        while part:
-            if nodes is None:
-                rows = rows.withColumn("root", F.col("sid"))
-            else:
-                rows = rows.join(nodes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-            if most and failed is not None:
-                both = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                rows = rows.join(both.groupBy(F.col("a").alias("sid")).agg(F.collect_set("b").alias("tested")), "sid", "left")
-            else:
-                rows = rows.withColumn("tested", F.lit(None).cast("array<long>"))
-            met = common.table(candidates(rows, part, budget, most, hot), "candidates")
-            pairs = common.table(met.where("b is not null"), "pairs")
+        if part:
+            new = common.table(candidates(rooted(ids.select("sid", "f0", "f1")), part, budget, hot), "candidates")
+            met = new if met is None else met.unionByName(new)
+            pairs = new.where("near").select("a", "b")
             if not pairs.isEmpty():
                 new = common.table(similar(df, ids, pairs, text_col, id_col, size, least), "links")
-                wrong = common.table(pairs.join(new, ["a", "b"], "left_anti"), "failed")
-                failed = wrong if failed is None else failed.unionByName(wrong)
-                if not new.isEmpty():
-                    edges = new if edges is None else edges.unionByName(new)
-                    nodes = simhash.connected(edges)
-            more = met.where("b is null").select(F.col("a").alias("sid")).distinct()
-            if more.isEmpty():
-                break
-            rows, most = ids.select("sid", "f0", "f1").join(more, "sid", "left_semi"), (most or 1) * quota
+                edges = new if edges is None else edges.unionByName(new)
+                nodes = simhash.connected(edges)
+    groups = simhash.connected(met.select("a", "b"))
+    if groups is None:
+        return nodes
+    groups = common.table(rooted(groups.select(F.col("node").alias("sid"), F.col("root").alias("g"))), "groups")
+    split = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 2 and x <> y")
+    groups = common.table(groups.join(split.select("g"), "g", "left_semi").select("sid", "g", "root"), "split")
+    if not groups.isEmpty():
+        new = common.table(searched(df, ids, groups, text_col, id_col, size, least, budget, limit), "links")
+        edges = new if edges is None else edges.unionByName(new)
+        nodes = simhash.connected(edges)
     return nodes
 
 

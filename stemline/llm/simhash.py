@@ -124,7 +124,14 @@ class Forest:
     def __init__(self, label: np.ndarray) -> None:
         self.label, self.edges = label, []
 
-    def near(self, a: np.ndarray, b: np.ndarray) -> None:
+    def near(self, a: np.ndarray, b: np.ndarray, differ: np.ndarray | None = None) -> None:
+        """Joins what a and b have in pairs, the nearest pairs first if differ says how far they are."""
+        if differ is not None:
+            for least in range(0, int(differ.max()) + 1, 4):
+                own = (differ >= least) & (differ < least + 4)
+                if own.any():
+                    self.near(a[own], b[own])
+            return
         x, y = self.label[a], self.label[b]
         while len(keep := np.flatnonzero(x != y)):
             a, b, x, y = a[keep], b[keep], x[keep], y[keep]
@@ -147,8 +154,8 @@ class Forest:
 
 
 def trie_join(words: np.ndarray, groups: np.ndarray, budget: int, found, leaf: int = LEAF) -> None:
-    """Calls found.near(a, b) with places of fingerprints of one group that differ in at most budget bits, but for pairs
-    that found.label has in one component by then. words: a row for each fingerprint, unsigned and sorted within groups;
+    """Calls found.near(a, b, differ) with places of fingerprints of one group that differ in at most budget bits, and in how
+    many, but for pairs that found.label has in one component by then. words: a row for each fingerprint, unsigned and sorted within groups;
     groups: numbers, equal ones side by side."""
     n, deep = len(words), 64 * words.shape[1]
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.zeros(0, int)
@@ -220,7 +227,7 @@ def _leaves(pairs: np.ndarray, words: np.ndarray, found, budget: int, leaf: int,
             differ = differ + np.bitwise_count(words[left, w] ^ words[right, w])
             near = differ <= budget
         if near.any():
-            found.near(left[near], right[near])
+            found.near(left[near], right[near], differ[near])
     return pairs[:, ~small]
 
 

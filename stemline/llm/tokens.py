@@ -2,7 +2,7 @@
 
 A text is cut before every space that follows a character other than white space: no pre-token of
 the vocabularies used here reaches over such a place, so the parts' ids in order are the text's ids
-(texts with white space before a space are encoded whole). Parts of plain letters and marks are cut
+(texts with white space before a space, or with the string of a special token, are encoded whole). Parts of plain letters and marks are cut
 further, between letters and what is no letter, except after an apostrophe or several white-space
 characters, where pre-tokens depend on what follows. A worker keeps ids of parts in dictionaries of
 bounded size, over all its tasks; beyond that they are encoded anew. Either way they are the
@@ -57,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # texts that hold one are encoded whole
         self.known: dict[str, bytes] = {}  # of parts, without the space before them
         self.segments: dict[str, bytes] = {}
         self.once: set[int] = set()  # hashes of parts that came once
@@ -94,7 +94,9 @@ class Encoder:
         """The ids of parts."""
         get, out, cut, whole = self.segments.get, {}, [], []
         for x in missing:
-            if m := _SIMPLE.fullmatch(x):
+            if any(t in x for t in self.special):
+                whole.append(x)
+            elif m := _SIMPLE.fullmatch(x):
                 word, marks = m.groups()
                 first, second = get(word), get(marks) if marks else b""
                 if first is None or second is None:
@@ -137,7 +139,7 @@ class Encoder:
         get, texts, missing = self.known.get, [], set()
         for p in payloads:
             text = p.decode("utf-8", "replace") if p else ""
-            if text[:1] == " " or any(x in text for x in _SPACED) or not text.isascii() and _SPACED_FAR.search(text):
+            if any(x in text for x in self.special) or text[:1] == " " or any(x in text for x in _SPACED) or not text.isascii() and _SPACED_FAR.search(text):
                 first, rest = text, []
             else:
                 first, *rest = text.split(" ")

@@ -19,7 +19,7 @@ def brute(text, items, n=10):
     return len(words), hit, sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150, 120, 25])
 def test_equals_brute_force_for_any_blocks(spark, block_bytes):
     rng = random.Random(block_bytes)
 

@@ -18,6 +18,10 @@ def test_held_out_accuracy_on_whole_tables(spark):
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) >= 0.95 * len(held) > 100
 
 
+def test_numbers_and_signs_are_no_letters():
+    assert all(not list(language.pieces(x.encode())) for x in ("½ ²", "Ⅷ", "_ 12", "①", "")) and list(language.pieces("½ é".encode()))
+
+
 def test_places_don_t_depend_on_pieces(monkeypatch):
     text = ("Ein Haus, été! " * 40).encode()
     whole = np.bincount(np.concatenate(list(language.pieces(text))), minlength=1 << language.BITS)

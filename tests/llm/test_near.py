@@ -50,8 +50,8 @@ def variants():
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"quota": 2, "hot": 20}])
-def test_components_equal_brute_force_in_few_rounds_and_in_many(spark, how):
+@pytest.mark.parametrize("how", [{}, {"hot": 20, "limit": 20_000}])
+def test_components_equal_brute_force_whole_and_in_parts(spark, how):
     texts = variants()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     label = want(texts)

@@ -13,15 +13,14 @@ NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 
 def plain(name, texts):
     t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_ids_are_the_library_s(name, monkeypatch):
     rng = random.Random(4)
-    texts = ["", " ", "  a", "a  b c \n d", "é  　x y\u0085 z <|endoftext|> q", " x y ", "it's don 't 's", "İ ǅ ﬁ é á ́x ͅ b", "x  y", "'s'", "\n\nb'\n-éA", "2nd 3 4x"]
-    texts += ["".join(rng.choice("ABaéÉ1' \n\tbs,.-́\x1c​") for _ in range(rng.randrange(30))) for _ in range(1500)]
+    texts = ["", " ", "  a", "a  b c \n d", "é  　x y\u0085 z <|endoftext|> q", " x y ", "it's don 't 's", "İ ǅ ﬁ é á ́x ͅ b", "x  y", "'s'", "\n\nb'\n-éA", "2nd 3 4x", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>\n<|endoftext|> ", "<|endoftext |>"]
+    texts += ["".join(rng.choice("ABaéÉ1' \n\tbs,.-́\x1c​") for _ in range(rng.randrange(30))) for _ in range(3000)]
     want = plain(name, texts)
     for parts, segments in ((400_000, 900_000), (3, 2), (0, 0)):
         monkeypatch.setattr(tokens, "PARTS", parts)
