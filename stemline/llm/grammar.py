@@ -95,16 +95,17 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, pairs: int = PAIRS
 
 
 def _rounds(seq: np.ndarray, is_first: np.ndarray, rules: np.ndarray, first: int, room: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rounds until no pair comes least times or there are room rules; and the places of pairs that still come so often."""
-    all_rules, used, most = [rules], len(rules), pairs
-    while len(seq) > 1:
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        if first + room <= 1 << 16:
-            keys = seq[:-1] << np.uint32(16) | seq[1:]
-        inner = ~is_first[1 : len(seq)]
-        alone = inner.copy()  # of a symbol's run, every other pair: the rest overlaps
-        same = np.flatnonzero(inner & (seq[:-1] == seq[1:]))
-        alone[same[_odd(same, keys[same])]] = False
+    """Rounds until no pair comes least times or there are room rules; and the places of pairs that still come so often.
+    Replacing makes pairs of older symbols rarer only, so after the first round just pairs with a symbol of the last
+    round are counted, and those that were frequent and are left over."""
+    all_rules, used, most, places = [rules], len(rules), pairs, np.arange(len(seq) - 1)
+    kind, bits = (np.uint64, np.uint64(32)) if first + room > 1 << 16 else (np.uint32, np.uint32(16))
+    while len(places):
+        places = places[~is_first[places + 1]]
+        keys = seq[places].astype(kind) << bits | seq[places + 1]
+        alone = np.ones(len(places), bool)  # of a symbol's run, every other pair: the rest overlaps
+        same = np.flatnonzero(seq[places] == seq[places + 1])
+        alone[same[_odd(places[same], keys[same])]] = False
         kept = np.sort(keys[alone])
         edge = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, int)
         found, counts = kept[edge], np.diff(np.append(edge, len(kept)))
@@ -112,20 +113,15 @@ def _rounds(seq: np.ndarray, is_first: np.ndarray, rules: np.ndarray, first: int
         if not len(often):
             return seq, is_first, np.concatenate(all_rules), 0
         if used >= room:
-            return seq, is_first, np.concatenate(all_rules), int(np.isin(keys[inner], found[often]).sum())
+            return seq, is_first, np.concatenate(all_rules), int(_among(keys, found[often]).sum())
         chosen = np.sort(found[often[np.argsort(-counts[often], kind="stable")[: min(most, room - used)]]])
-        bits = np.uint64(32) if chosen.dtype == np.uint64 else np.uint32(16)
-        low, high = (chosen & ((chosen.dtype.type(1) << bits) - chosen.dtype.type(1))).astype(np.uint32), (chosen >> bits).astype(np.uint32)
-        begins, ends = np.zeros(first + used, bool), np.zeros(first + used, bool)
-        begins[high], ends[low] = True, True
-        maybe = np.flatnonzero(inner & begins[seq[:-1]] & ends[seq[1:]])
-        rank = np.searchsorted(chosen, keys[maybe])
+        rank = np.searchsorted(chosen, keys)
         rank[rank == len(chosen)] = 0
-        hit = chosen[rank] == keys[maybe]
-        at, rank = maybe[hit], rank[hit]
+        hit = chosen[rank] == keys
+        hits, rank = places[hit], rank[hit]
         # of overlapping places, every other from the left of each run of neighbours
-        odd = _odd(at)
-        at, rank = at[~odd], rank[~odd]
+        odd = _odd(hits)
+        at, rank = hits[~odd], rank[~odd]
         # pairs whose places went to others wait for another round; the most frequent alone keeps all of its own
         enough = np.bincount(rank, minlength=len(chosen)) >= least
         if not enough.any():
@@ -134,15 +130,26 @@ def _rounds(seq: np.ndarray, is_first: np.ndarray, rules: np.ndarray, first: int
         most = pairs
         own = enough[rank]
         at, rank = at[own], (np.cumsum(enough) - 1)[rank[own]]
+        k = np.searchsorted(at, places)
+        near, before = at[np.minimum(k, len(at) - 1)], at[np.maximum(k - 1, 0)]
+        left = places[_among(keys, found[often]) & (near != places) & (near != places + 1) & (before != places - 1)]
         seq[at] = (first + used + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, is_first = seq[keep], np.append(is_first[:-1][keep], True)
-        all_rules.append(np.stack([high, low], axis=1)[enough])
+        new = at - np.arange(len(at))  # their places now
+        places = np.sort(np.concatenate([new - 1, new, left - np.searchsorted(at, left)]))
+        places = places[(places >= 0) & (places < len(seq) - 1) & np.append(True, places[1:] != places[:-1])]
+        all_rules.append(np.stack([chosen >> bits, chosen & ((kind(1) << bits) - kind(1))], axis=1).astype(np.uint32)[enough])
         used += int(enough.sum())
     return seq, is_first, np.concatenate(all_rules), 0
 
 
+def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each of x is among the sorted values."""
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+
+
 def _odd(at: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
     """Whether each of the sorted places has an odd number in its run of neighbours (of one key)."""
     new = np.diff(at) != 1
