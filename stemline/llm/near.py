@@ -42,41 +42,15 @@ from . import common, simhash
 BITS, MISSED = 128, 0.01
 #: Ways of the first part; sets of a group on the average, and before it is dealt in parts; rows of a task; bytes of sets of a task.
 FIRST, GROUP, HOT, TASK, BYTES = 3, 128, 20_000, 250_000, 24 << 20
-#: Words whose hashes a task keeps.
-WORDS = 200_000
 
 
-class Hashes(dict):
-    """Hashes of words, eight bytes each."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        name = xxhash.xxh64_digest(word, simhash.SEED)
-        if len(self) < WORDS:
-            self[word] = name
-        return name
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(32)
-
-
-def shingles(payload: bytes | None, size: int, known: Hashes | None = None) -> np.ndarray:
+def shingles(payload: bytes | None, size: int) -> np.ndarray:
     """The hashes of a text's shingles, made of the hashes of their words; sorted, each once."""
-    name, parts, at = (Hashes() if known is None else known).__getitem__, [], 0
-    payload = payload or b""
-    while at < len(payload):  # a piece of the text at a time
-        end = len(payload)
-        if end - at > simhash.PIECE and (m := simhash._SPACE.search(payload, at + simhash.PIECE)):
-            end = m.end()
-        parts.append(np.frombuffer(b"".join(map(name, payload[at:end].lower().split())), "<u8"))
-        at = end
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    words = common.word_names((payload or b"").lower())
     many = min(size, len(words))
     out = np.zeros(len(words) - many + 1 if many else 0, np.uint64)
     for k in range(many):
-        out = _mixed(out + words[k : k + len(out)] + np.uint64(many))
+        out = common.mixed(out + words[k : k + len(out)] + np.uint64(many))
     return np.unique(out)
 
 
@@ -91,7 +65,7 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
         counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + simhash._LANES).ravel(), minlength=2048) if len(h) else np.zeros(2048, int)
         ones = counts.reshape(8, 256) @ simhash._BITS
         out.append(int.from_bytes(np.packbits(ones[::-1] * 2 > len(own), axis=1).tobytes(), signed=True))
-        h = _mixed(h)
+        h = common.mixed(h)
     return tuple(out)
 
 
@@ -99,10 +73,8 @@ def prints(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id, sid, f0, f1 of each row."""
 
     def start():
-        known = Hashes()
-
         def run(texts: list) -> tuple:
-            own = [shingles(t, size, known) for t in texts]
+            own = [shingles(t, size) for t in texts]
             words = [fingerprint(x) for x in own]
             return [set_id(x) for x in own], [x[0] for x in words], [x[1] for x in words]
 
@@ -231,10 +203,9 @@ def sets_of(df: DataFrame, wanted: DataFrame, text_col: str, id_col: str, size:
     rows = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("key"), common.as_bytes(f"`{text_col}`").alias("payload"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
         for b in batches:
             at = np.flatnonzero(needed.value.has(b.column(0).to_numpy()))
-            own = [shingles(x, size, known) for x in b.column(1).take(pa.array(at)).to_pylist()]
+            own = [shingles(x, size) for x in b.column(1).take(pa.array(at)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary())], ["sid", "set"])
 
     found = common.map_batches(rows, some, "sid long, set binary").join(wanted.select("sid"), "sid", "left_semi")

@@ -50,8 +50,8 @@ LENGTH, GRAM, SHALLOW = 400, 32, 32
 REACH = LENGTH - GRAM  # the farthest an anchor lies from its window's start
 #: Windows scanned at once; contexts sorted at once (more if a group has more); anchors of a hot group.
 PIECE, CHUNK, HOT = 1 << 19, 20_000, 100_000
-#: Bytes of a word's name where texts are taken as words, and names that a task keeps.
-NAME, NAMES = 8, 200_000
+#: Bytes of a word's name where texts are taken as words.
+NAME = 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -59,23 +59,12 @@ _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB1
 # -- units -----------------------------------------------------------------------------------------
 
 
-class Names(dict):
-    """Names of words, NAME bytes each."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        name = xxhash.xxh64_digest(word, 7)
-        if len(self) < NAMES:
-            self[word] = name
-        return name
-
-
 def reader(words: bool) -> Callable[[bytes], bytes]:
     """What is searched of a text: its bytes, or the names of its words (parted at ASCII white space), so that LENGTH bytes
     are LENGTH // NAME words whatever parts them."""
     if not words:
         return lambda payload: payload
-    name = Names().__getitem__
-    return lambda payload: b"".join(map(name, payload.split()))
+    return lambda payload: common.word_names(payload).astype("<u8").tobytes()
 
 
 def byte_spans(payload: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
