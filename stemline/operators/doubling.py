@@ -64,5 +64,7 @@ def run(initial: DataFrame, k: int, preaggregate: bool = False) -> tuple[DataFra
         began = time.time()
         pairs = shifted(active, reduce(DataFrame.unionByName, [*logs, active]), length)
         now = keep((refine_counts if preaggregate else refine)(pairs))
+        if (after := now.count()) != before:
+            raise RuntimeError(f"a round of {before} active suffixes returned {after}")
         metrics.append({"round": len(metrics) + 1, "length": length, "active_in": before, "active_out": now.where("cnt > 1").count(), "seconds": time.time() - began})
         length *= 2

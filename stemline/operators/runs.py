@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lower ends of the classes of run lengths.
-CLASSES = (1, 2, 4, 8, 16, 32, 64, 128)
+#: Lower ends of the classes of run lengths (fixed values).
+CLASSES = (1, 2, 3, 4, 5, (1 << 8) + 1, (1 << 16) + 1, (1 << 24) + 1)
 
 
 def rank_runs(ranks: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def rank_runs(ranks: DataFrame) -> DataFrame:
 
 def length_distribution(runs: DataFrame) -> DataFrame:
     """least, n_runs, n_positions: runs by class of length; a class reaches to the next one's least."""
-    least = F.coalesce(*[F.when(F.col("cnt") >= c, F.lit(c)) for c in reversed(CLASSES)])
+    least = F.coalesce(*[F.when(F.col("cnt") >= c, F.lit(c).cast("long")) for c in reversed(CLASSES)])
     return runs.groupBy(least.alias("least")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("cnt").alias("n_positions"))
 
 

@@ -205,7 +205,7 @@ _FULL = {
     "customer": f"WITH {_positions('customer', 'c_custkey', 'c_name')} " + _SA.format(sid="sid, ", part="PARTITION BY sid "),
     "single": "WITH t AS (SELECT hex(encode(string_agg(p_name, chr(10) ORDER BY p_partkey))) AS h FROM part), p AS (SELECT h, unnest(range(0, len(h) // 2 + 1)) AS pos FROM t) " + _SA.format(sid="", part=""),
 }
-_CASES = " ".join(f"WHEN cnt >= {c} THEN {c}" for c in reversed(runs.CLASSES))
+_CASES = "WHEN cnt <= 4 THEN cnt WHEN cnt <= 256 THEN 5 WHEN cnt <= 65536 THEN 257 WHEN cnt <= 16777216 THEN 65537 ELSE 16777217"
 
 ORACLES = {
     "symbol_stream": f"WITH {_ITEMS} SELECT sid, pos, CASE WHEN 2 * pos < len(h) THEN ('0x' || substr(h, 2 * pos + 1, 2))::INTEGER + 1 ELSE 0 END AS code FROM p",
@@ -218,7 +218,7 @@ ORACLES = {
     "bucket_starts": f"{_KMERS} SELECT kmer, cnt, coalesce(sum(cnt) OVER (ORDER BY kmer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c",
     "initial_ranks": f"{_TWO} SELECT sid, pos, rank FROM r",
     "initial_runs": f"{_TWO} SELECT sid, rank, count(*) AS cnt FROM r GROUP BY 1, 2",
-    "run_length_distribution": f"{_TWO}, c AS (SELECT sid, rank, count(*) AS cnt FROM r GROUP BY 1, 2) SELECT CASE {_CASES} END AS least, count(*) AS n_runs, sum(cnt)::BIGINT AS n_positions FROM c GROUP BY 1",
+    "run_length_distribution": f"{_TWO}, c AS (SELECT sid, rank, count(*) AS cnt FROM r GROUP BY 1, 2) SELECT (CASE {_CASES} END)::BIGINT AS least, count(*) AS n_runs, sum(cnt)::BIGINT AS n_positions FROM c GROUP BY 1",
     "shifted_ranks": f"{_TWO} SELECT sid, pos, rank, next FROM s",
     "rank_triplets": f"{_TWO} SELECT sid, rank, next, count(*) AS cnt FROM s GROUP BY 1, 2, 3",
     "refine_once": f"{_TWO} SELECT sid, pos, rank, cnt FROM u",

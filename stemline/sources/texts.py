@@ -1,6 +1,7 @@
 """Texts as tables of (sid, b): a string's number and its bytes; and as pieces of bounded size.
 
-Columns besides these are ignored. A null text is empty. A string's number must be unique.
+Columns besides these are ignored. A null text is empty. A string's number must be unique; rows whose number is null
+are no strings and are left out, whatever their size.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ PIECE = 1 << 14
 
 
 def from_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("sid"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("b"))
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("sid"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("b"))
 
 
 def joined(df: DataFrame, id_col: str, text_col: str, separator: str = "\n") -> DataFrame:

@@ -138,6 +138,8 @@ def test_sources(spark, tmp_path):
     assert bytes(texts.joined(df, "k", "t").first()["b"]) == "é\nx".encode()
     (tmp_path / "f").write_bytes(b"abc")
     assert bytes(texts.from_files(spark, str(tmp_path / "f")).first()["b"]) == b"abc"
+    nulls = texts.from_column(spark.createDataFrame([(None, "ab"), (1, "ab")], "k long, t string"), "k", "t")
+    assert arrays(build.build(nulls).sa) == arrays(build.build(nulls, Config(local_bytes=-1)).sa) == {1: [2, 0, 1]}
     empty = spark.createDataFrame([], "sid long, b binary")
     assert build.build(empty).sa.count() == build.build(empty, Config(local_bytes=-1)).sa.count() == 0
 
@@ -145,7 +147,9 @@ def test_sources(spark, tmp_path):
 def test_runs(spark):
     ranks = spark.createDataFrame([(0, k, r) for k, r in enumerate([0, 1, 1, 1, 4, 4, 6])], "sid long, pos long, rank long")
     got = {r["least"]: (r["n_runs"], r["n_positions"]) for r in runs.length_distribution(runs.rank_runs(ranks)).collect()}
-    assert got == {1: (2, 2), 2: (2, 5)}
+    assert got == {1: (2, 2), 2: (1, 2), 3: (1, 3)}
+    long = spark.createDataFrame([(0, k, c) for k, c in enumerate([4, 5, 256, 257, 1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 1])], "sid long, rank long, cnt long")
+    assert {r["least"]: r["n_runs"] for r in runs.length_distribution(long).collect()} == {4: 1, 5: 2, 257: 2, 65537: 2, 16777217: 1}
     assert sorted(map(tuple, runs.windows(ranks.where("rank in (1, 4)"), 4).collect())) == [(0, 0, 1, 3), (0, 1, 4, 5)]
     first = spark.createDataFrame([(0, 0, 1, 2), (0, 1, 4, 1), (0, 2, 5, 1)], "sid long, run long, rank long, cnt long")
     second = spark.createDataFrame([(0, 0, 5, 2), (0, 1, 1, 2)], "sid long, run long, next long, cnt long")
