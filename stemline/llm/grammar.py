@@ -215,7 +215,7 @@ def write(df: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_co
     """Writes the ids of df's texts below folder, a shared one, by the tokenizer file at path, which all executors have.
     Returns the manifest: part, shard, path, offset, n_bytes, n_ids, doc_ids (in order), base (ids in shards before)."""
     id_type = df.schema[id_col].dataType
-    rows = df.select(F.col(id_col).alias("id"), common.as_bytes(text_col).alias("payload"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), common.as_bytes(f"`{text_col}`").alias("payload"))
     rows = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "payload")
     end_bytes = np.array([end], "<u4").tobytes()
 

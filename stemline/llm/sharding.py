@@ -85,9 +85,15 @@ def _copies(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
-    """Writes df's rows in a folder for each shard. Ids must be unique here."""
-    shards = assign(df, id_col, text_col, limit).select(F.col("id").alias("__id"), "shard_id")
-    df.join(shards, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Writes df's rows in a folder for each shard, by the column `shard_id` (with `_` before it as often as df has that
+    name). Ids must be unique here."""
+    name, key = "shard_id", "id"
+    while name in df.columns:
+        name = f"_{name}"
+    while key in (*df.columns, name):
+        key = f"_{key}"
+    shards = assign(df, id_col, text_col, limit).select(F.col("id").alias(key), F.col("shard_id").alias(name))
+    df.join(shards, F.col(f"`{id_col}`").eqNullSafe(F.col(key))).drop(key).repartition(F.col(name)).write.partitionBy(name).parquet(path)
 
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

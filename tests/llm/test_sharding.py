@@ -51,3 +51,11 @@ def test_shards_are_written_whole(spark, tmp_path):
     sharding.write(df, str(tmp_path / "out"), limit=100_000)
     back = spark.read.parquet(str(tmp_path / "out")).drop("shard_id")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_written_shards_keep_columns_of_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(k, "x" * 50, f"s{k}", k) for k in range(20)], "doc_id long, text string, shard_id string, id long")
+    sharding.write(df, str(tmp_path / "out"), limit=200)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(got.columns) == sorted([*df.columns, "_shard_id"])
+    assert sorted(tuple(r) for r in got.select(df.columns).collect()) == sorted(tuple(r) for r in df.collect())
