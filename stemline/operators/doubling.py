@@ -2,8 +2,9 @@
 
 A rank is the number of smaller suffixes of the string, so refining it needs only the suffixes that
 share it: no window is global. Suffixes whose rank is unique are resolved and leave; each round
-reads and writes the active ones, and appends what it resolved to a log. Between rounds there are
-tables in the shared folder.
+writes the active ones, and what it resolved is a log. To look up the ranks further on, a round reads
+the logs; once the active suffixes are few, they are broadcast to the logs, which no round shuffles
+then. Between rounds there are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from ..storage import keep
 
+#: Active suffixes that are broadcast: two numbers each, some 64 MB as a hash table. More are joined by a shuffle.
+FEW = 1 << 20
+
 
 def shifted(active: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
     """active with `next`, the rank `length` positions on (null past the string's end)."""
@@ -24,6 +28,13 @@ def shifted(active: DataFrame, ranks: DataFrame, length: int) -> DataFrame:
     return active.join(ahead, ["sid", "pos"], "left")
 
 
+def reached(active: DataFrame, ranks: DataFrame, length: int, few: bool) -> DataFrame:
+    """As shifted, for suffixes that share their first `length` symbols with another of their string: these hold no end, so
+    all of them have a next rank, and the join may turn either way. few: the active ones may be broadcast."""
+    ahead = ranks.select("sid", (F.col("pos") - length).alias("pos"), F.col("rank").alias("next"))
+    return ahead.join(F.broadcast(active) if few else active, ["sid", "pos"]).select("sid", "pos", "rank", "next")
+
+
 def triplets(pairs: DataFrame) -> DataFrame:
     """sid, rank, next, cnt: how many active suffixes have a pair of ranks."""
     return pairs.groupBy("sid", "rank", "next").agg(F.count(F.lit(1)).alias("cnt"))
@@ -62,7 +73,7 @@ def run(initial: DataFrame, k: int, preaggregate: bool = False) -> tuple[DataFra
         if not before:
             return reduce(DataFrame.unionByName, logs), metrics
         began = time.time()
-        pairs = shifted(active, reduce(DataFrame.unionByName, [*logs, active]), length)
+        pairs = reached(active, reduce(DataFrame.unionByName, [*logs, active]), length, before <= FEW)
         now = keep((refine_counts if preaggregate else refine)(pairs))
         if (after := now.count()) != before:
             raise RuntimeError(f"a round of {before} active suffixes returned {after}")

@@ -2,29 +2,56 @@
 
 Two suffixes in rank order are in text order if their first symbols are, or if these are equal and
 the suffixes one position on are in rank order, which is checked for them too.
+
+Every table is read once: what the checks need of a position meets in one exchange by position, and
+what they need of a rank in a second one by rank. No key has more rows than the tables have copies
+of it, so neither skews.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CHECKS = ("length", "range", "permutation", "agreement", "order")
+
+
+def _rows(df: DataFrame, keep: tuple[str, ...], schema: dict[str, str], *rows: dict[str, Column]) -> DataFrame:
+    """For each row of df one row per given one, of the columns of schema; those not given are null."""
+    structs = [F.struct(*[r.get(c, F.lit(None)).cast(t).alias(c) for c, t in schema.items()]) for r in rows]
+    return df.select(*keep, F.inline(F.array(*structs)))
+
 
 def report(symbols: DataFrame, isa: DataFrame, sa: DataFrame) -> DataFrame:
-    """check, violations, n_positions. symbols: sid, pos, code; isa: sid, pos, rank; sa: sid, rank, pos."""
-    sizes = symbols.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    total = symbols.agg(F.count(F.lit(1)).alias("n_positions"))
-    keys = isa.join(symbols, ["sid", "pos"], "left").join(isa.select("sid", (F.col("pos") - 1).alias("pos"), F.col("rank").alias("next")), ["sid", "pos"], "left")
-    keys = keys.select("sid", "rank", "code", F.coalesce("next", F.lit(-1)).alias("next"))
-    after = keys.select("sid", (F.col("rank") - 1).alias("rank"), F.col("code").alias("code2"), F.col("next").alias("next2"))
-    checks = {
-        "length": symbols.select("sid", "pos").join(isa.select("sid", "pos"), ["sid", "pos"], "left_anti").unionByName(isa.select("sid", "pos").join(symbols, ["sid", "pos"], "left_anti")),
-        "range": isa.join(sizes, "sid").where("rank < 0 or rank >= n"),
-        "permutation": isa.groupBy("sid", "rank").count().where("count > 1"),
-        "agreement": isa.join(sa.select("sid", "rank", F.col("pos").alias("other")), ["sid", "rank"], "full").where("pos is null or other is null or pos <> other"),
-        "order": keys.join(after, ["sid", "rank"]).where("not (code < code2 or code = code2 and next < next2)"),
+    """check, violations, n_positions. symbols: sid, pos, code; isa: sid, pos, rank; sa: sid, rank, pos.
+
+    length: positions without just one rank, and ranks of positions that no string has. range: ranks that aren't 0 to the
+    string's length. permutation: ranks given twice. agreement: ranks at which sa and isa name other positions, or only one
+    does. order: neighbours in rank that aren't in text order. No strings: no violations, no positions."""
+    at = {"pos": "long", "code": "int", "rank": "long", "next": "long"}
+    p, r = F.col("pos"), F.col("rank")
+    by_pos = _rows(symbols, ("sid",), at, {"pos": p, "code": F.col("code")}).unionByName(_rows(isa, ("sid",), at, {"pos": p, "rank": r}, {"pos": p - 1, "next": r}))
+    by_pos = by_pos.groupBy("sid", "pos").agg(F.max("code").alias("code"), F.max("rank").alias("rank"), F.max("next").alias("next"), F.count("rank").alias("ranks"))
+    # the shifted copy of position 0 has no other rows
+    by_pos = by_pos.where("code is not null or ranks > 0")
+
+    of = {"rank": "long", "pos": "long", "code": "int", "next": "long", "code2": "int", "next2": "long", "ranks": "int", "position": "int", "wrong": "int", "other": "long"}
+    code, following = F.col("code"), F.coalesce("next", F.lit(-1))
+    own = {"rank": r, "pos": p, "code": code, "next": following, "ranks": F.col("ranks"), "wrong": (code.isNull() | (F.col("ranks") != 1)).cast("int")}
+    by_rank = _rows(by_pos, ("sid",), of, own, {"rank": r - 1, "code2": code, "next2": following}, {"rank": F.when(code.isNotNull(), p), "position": F.lit(1)})
+    by_rank = by_rank.unionByName(_rows(sa, ("sid",), of, {"rank": r, "other": p}))
+    first = {c: F.max(c).alias(c) for c in ("code", "next", "code2", "next2")}
+    by_rank = by_rank.groupBy("sid", "rank").agg(
+        *first.values(), F.sum("position").alias("position"), F.sum("wrong").alias("wrong"), F.count("pos").alias("n_isa"), F.count("other").alias("n_sa"),
+        F.sum("pos").alias("pos"), F.sum("other").alias("other"), F.max("ranks").alias("ranks"),
+    )
+    held = r.isNotNull() & (F.col("n_isa") > 0)
+    rules = {
+        "length": F.col("wrong"),
+        "range": F.when(held & F.col("position").isNull(), F.col("n_isa")),
+        "permutation": F.when(held & ((F.col("n_isa") > 1) | (F.col("ranks") > 1)), 1),
+        "agreement": F.when(r.isNotNull() & ((F.col("n_isa") != F.col("n_sa")) | ~F.col("pos").eqNullSafe(F.col("other"))), 1),
+        "order": F.when(held & ~((F.col("code") < F.col("code2")) | (F.col("code") == F.col("code2")) & (F.col("next") < F.col("next2"))), 1),
     }
-    rows = [x.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("violations")) for name, x in checks.items()]
-    return reduce(DataFrame.unionByName, rows).crossJoin(F.broadcast(total))
+    total = by_rank.agg(F.coalesce(F.sum("position"), F.lit(0)).alias("n_positions"), *[F.coalesce(F.sum(rules[c]), F.lit(0)).alias(c) for c in CHECKS])
+    return total.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("violations")) for c in CHECKS])), "n_positions")
