@@ -47,16 +47,17 @@ def _positions(pieces: DataFrame, k: int, column: str, kind: str, value) -> Data
     return pieces.select("sid", "start", "n", "b").mapInArrow(run, f"sid {sid}, pos long, {column} {kind}")
 
 
-def _strings(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(size)])
-    held = data[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(held)])
-
-
 def kmers(pieces: DataFrame, k: int) -> DataFrame:
     """sid, pos, kmer: the k bytes from each position, fewer at a string's end, none at the sentinel. Binary order of
     k-mers is the order of suffixes by their first k symbols."""
-    return _positions(pieces, k, "kmer", "binary", _strings)
+
+    # a function of its own here goes to the workers by value, so they needn't import this package
+    def strings(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(size)])
+        held = data[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(held)])
+
+    return _positions(pieces, k, "kmer", "binary", strings)
 
 
 def symbols(pieces: DataFrame) -> DataFrame:
