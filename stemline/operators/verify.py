@@ -5,17 +5,34 @@ the suffixes one position on are in rank order, which is checked for them too.
 
 Every table is read once: what the checks need of a position meets in one exchange by position, and
 what they need of a rank in a second one by rank. No key has more rows than the tables have copies
-of it, so neither skews.
+of it, so neither skews. Where a task holds a string and its rows, as for strings sorted there, it
+checks them itself (holds), and nothing of them is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHECKS = ("length", "range", "permutation", "agreement", "order")
 
 
+def holds(b: bytes, rank: np.ndarray, pos: np.ndarray) -> bool:
+    """Whether rows of rank and pos, in any order, are the suffix array of b: all checks of report, for one string."""
+    n = len(b) + 1
+    if len(rank) != n or len(pos) != n or not all(0 <= x.min() and x.max() < n for x in (rank, pos)):
+        return False
+    at, ranks = np.full(n, -1), np.full(n + 1, -1)  # past the end: smaller than any rank
+    at[rank], ranks[pos] = pos, rank
+    if at.min() < 0 or ranks[:n].min() < 0:
+        return False
+    code = np.append(np.frombuffer(b, np.uint8).astype(np.int64) + 1, 0)
+    # a symbol and the rank one position on as one number
+    key = (code * (n + 1) + ranks[1:] + 1)[at]
+    return bool((key[1:] > key[:-1]).all())
+
+
 def _rows(df: DataFrame, keep: tuple[str, ...], schema: dict[str, str], *rows: dict[str, Column]) -> DataFrame:
     """For each row of df one row per given one, of the columns of schema; those not given are null."""
     structs = [F.struct(*[r.get(c, F.lit(None)).cast(t).alias(c) for c, t in schema.items()]) for r in rows]

@@ -101,6 +101,64 @@ def test_verifier_accepts_right_and_refuses_wrong(spark):
     assert "range" in failed(far, far)
 
 
+def test_strings_are_checked_where_they_are_sorted(spark):
+    t = table(spark, [b"", b"banana", b"abcab" * 5, b"a" * 40, b"\xff\0" * 9])
+    n = sum(len(r["b"]) + 1 for r in t.collect())
+
+    def report(texts, result):
+        return {r["check"]: (r["violations"], r["n_positions"]) for r in build.verify_build(texts, result).collect()}
+
+    near, mixed, far = (build.build(t, Config(local_bytes=size)) for size in (1 << 20, 20, -1))
+    for result in (near, mixed, far, near._replace(parts=None)):
+        assert report(t, result) == dict.fromkeys(verify.CHECKS, (0, n))
+    wide = table(spark, [b"x" * 70_000])
+    assert report(wide, build.build(wide)) == dict.fromkeys(verify.CHECKS, (0, 70_001))
+    plan = build.verify_build(t, near)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "hashpartitioning" not in plan  # only sums of what tasks found
+    # tables that aren't the build's own, and numbers that come again, go through the report by positions
+    swapped = near._replace(sa=near.sa.withColumn("rank", F.when(F.col("rank") < 2, 1 - F.col("rank")).otherwise(F.col("rank"))))
+    assert report(t, swapped) == report(t, swapped._replace(parts=None)) and report(t, swapped)["agreement"][0]
+    twice = t.unionAll(t.where("sid in (1, 4)"))
+    for size in (1 << 20, 35):
+        result = build.build(twice, Config(local_bytes=size))
+        assert report(twice, result) == report(twice, result._replace(parts=None)) and report(twice, result)["length"][0]
+    empty = t.where("sid < 0")
+    assert report(empty, build.build(empty)) == dict.fromkeys(verify.CHECKS, (0, 0))
+
+
+def test_one_string_is_held_to_the_same_checks(spark):
+    rng = np.random.default_rng(2)
+    strings, rows, want = [], [], []
+    for k, s in enumerate([b"", b"aa", b"mississippi", b"abab" * 3] * 8):
+        rank, pos = np.arange(len(s) + 1), local.suffix_array(s)
+        if k >= 4:
+            x, y = rng.integers(0, len(rank), 2)
+            kind = k % 5
+            if kind == 0:
+                pos[[x, y]] = pos[[y, x]]
+            elif kind == 1:
+                pos[x] = pos[y]
+            elif kind == 2:
+                rank[x] += rng.integers(-3, 20)
+            elif kind == 3:
+                rank, pos = np.delete(rank, x), np.delete(pos, x)
+            else:
+                p = rng.permutation(len(rank))
+                rank, pos = rank[p], pos[p]
+        strings.append(s)
+        rows += [(k, int(r), int(p)) for r, p in zip(rank, pos, strict=True)]
+        want.append(verify.holds(s, rank, pos))
+    assert True in want[4:] and False in want
+    t, sa = table(spark, strings), spark.createDataFrame(rows, "sid long, rank long, pos long")
+    codes = symbols.symbols(texts.pieces(t, 0))
+    for k, good in enumerate(want):
+        own = sa.where(F.col("sid") == k)
+        if k < 4 or k % 7 == 0:
+            assert good == (not any(r["violations"] for r in verify.report(codes.where(F.col("sid") == k), own.select("sid", "pos", "rank"), own).collect()))
+    naive_holds = [sorted((r, p) for s, r, p in rows if s == k) == list(enumerate(naive(strings[k]))) for k in range(len(strings))]
+    assert want == naive_holds
+
+
 def test_bytes_over_the_limit_are_refused_only_if_asked(spark):
     t = table(spark, [b"a\xfe\xff"])
     with pytest.raises(ValueError, match="2 bytes are over 253"):
