@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: One Arrow batch holds at most so many rows, and about so many bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Bytes of texts that are read together, as much as a processor's cache holds with what is made of it.
+TOGETHER = 1 << 16
 #: Bits of the largest bitmap and of one segment of it, as powers of two; bits for each key.
 BITMAP, SEGMENT, SPARSE = 27, 20, 32
 
@@ -34,6 +36,7 @@ def words(payload: bytes | None) -> list[bytes]:
 
 
 _SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_SPACE_TABLE = _SPACES.astype(np.uint8).tobytes()
 _BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
 #: Odd, and 1 less is no multiple of 4, so swapped bytes differ in their sums; and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C17
@@ -49,21 +52,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def word_names(payload: bytes) -> np.ndarray:
     """A 64-bit hash of each word (parted at ASCII white space) of a text, all words at once: differences of sums over its bytes."""
-    out, at = [np.zeros(0, np.uint64)], 0
+    return names_of([payload])[0]
+
+
+def names_of(payloads: Sequence[bytes]) -> list[np.ndarray]:
+    """word_names of each text. Short texts are read together, as a call on one costs more than its bytes do."""
+    out, at, size = [], 0, 0
+    for k, p in enumerate(payloads, 1):
+        size += len(p)
+        if size >= TOGETHER or k == len(payloads):
+            starts, names = _names(b" ".join(payloads[at:k]))
+            cut = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in payloads[at:k]])).tolist()
+            out += [names[x:y] for x, y in zip([0, *cut], cut, strict=False)]
+            at, size = k, 0
+    return out
+
+
+def _names(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash."""
+    begin, out, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while at < len(payload):
         end = at + _PIECE
         while end < len(payload) and not _SPACES[payload[end]]:  # a word is never cut
             end += 1
-        data, at = np.frombuffer(payload, np.uint8)[at:end], end
-        n = len(data)
+        piece = payload[at:end]
+        data, n = np.frombuffer(piece, np.uint8), len(piece)
         if len(_POWERS[0]) < n + 1:
             for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
                 _POWERS[k] = np.cumprod(np.append(np.uint64(1), np.full(2 * n, base, np.uint64)))
-        edge = np.flatnonzero(np.diff(_SPACES[data], prepend=True, append=True))
+        space = np.ones(n + 2, np.uint8)
+        space[1:-1] = np.frombuffer(piece.translate(_SPACE_TABLE), np.uint8)
+        edge = np.flatnonzero(space[1:] != space[:-1])
         starts, ends = edge[::2], edge[1::2]
-        sums = np.append(np.uint64(0), np.cumsum(_BYTE[data] * _POWERS[0][:n]))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE.take(data) * _POWERS[0][:n], out=sums[1:])
+        begin.append(starts + at)
         out.append(mixed((sums[ends] - sums[starts]) * _POWERS[1][starts]))
-    return np.concatenate(out)
+        at = end
+    return np.concatenate(begin), np.concatenate(out)
 
 
 def shared_dir(spark: SparkSession) -> str:

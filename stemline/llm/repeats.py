@@ -59,12 +59,12 @@ _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB1
 # -- units -----------------------------------------------------------------------------------------
 
 
-def reader(words: bool) -> Callable[[bytes], bytes]:
-    """What is searched of a text: its bytes, or the names of its words (parted at ASCII white space), so that LENGTH bytes
+def reader(words: bool) -> Callable[[list[bytes]], list[bytes]]:
+    """What is searched of texts: their bytes, or the names of their words (parted at ASCII white space), so that LENGTH bytes
     are LENGTH // NAME words whatever parts them."""
     if not words:
-        return lambda payload: payload
-    return lambda payload: common.word_names(payload).astype("<u8").tobytes()
+        return lambda payloads: payloads
+    return lambda payloads: [x.astype("<u8", copy=False).tobytes() for x in common.names_of(payloads)]
 
 
 def byte_spans(payload: bytes, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,29 +104,72 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` neighbours, by prefix and suffix minima of blocks."""
-    n = len(x)
-    blocks = np.concatenate([x, np.full(-n % width, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, width)
-    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
-    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(suffix[: n - width + 1], prefix[width - 1 : n])
+    """The least of each `width` neighbours, from the least of 2, 4, 8 and so on."""
+    n, size = len(x) - width + 1, 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[:n], x[width - size : width - size + n])
 
 
 def anchors(payload: bytes) -> Anchors:
     """The anchors of a text's windows."""
+    return anchors_of([payload])[0]
+
+
+def anchors_of(payloads: list[bytes]) -> list[Anchors]:
+    """The anchors of each text's windows. Short texts are read together, as a call on one costs more than its bytes do."""
+    out, at, size = [], 0, 0
+    for k, p in enumerate(payloads, 1):
+        size += len(p)
+        if size >= common.TOGETHER or k == len(payloads):
+            small = [x if len(x) < PIECE else b"" for x in payloads[at:k]]
+            found = _together(small)
+            out += [_alone(x) if len(x) >= PIECE else own for x, own in zip(payloads[at:k], found, strict=True)]
+            at, size = k, 0
+    return out
+
+
+def _places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, and the place of the anchor of each window."""
+    h = _gram_hashes(data)
+    key = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+    return h, (_least(key, REACH + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+
+
+def _together(payloads: list[bytes]) -> list[Anchors]:
+    """As anchors_of, for few bytes: windows that reach over a text's end are left out."""
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    if len(data) < LENGTH:
+        return [_NONE] * len(payloads)
+    h, place = _places(data)
+    sizes = np.array([len(p) for p in payloads])
+    ends = np.cumsum(sizes)
+    window = np.flatnonzero(np.arange(len(place)) <= np.repeat(ends - LENGTH, sizes)[: len(place)])
+    place = place[window]
+    first = np.flatnonzero(np.append(len(place) > 0, place[1:] != place[:-1]))  # another text, another place
+    low, high, place = window[first], window[np.append(first[1:], len(place)) - 1] if len(first) else window[:0], place[first]
+    of = np.searchsorted(ends, low, "right")
+    base = (ends - sizes)[of]
+    cut = np.searchsorted(of, np.arange(len(payloads) + 1)).tolist()
+    parts = (place - base, low - base, high - base, h[place])
+    return [Anchors(*(x[a:b] for x in parts)) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _alone(payload: bytes) -> Anchors:
     data, parts = np.frombuffer(payload, np.uint8), []
     for at in range(0, len(data) - LENGTH + 1, PIECE):
-        h = _gram_hashes(data[at : at + PIECE + LENGTH - 1])
-        place = (_least(h & ~np.uint64(0xFFFFFF) | np.arange(len(h), dtype=np.uint64), REACH + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+        h, place = _places(data[at : at + PIECE + LENGTH - 1])
         low = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         high = np.append(low[1:], len(place)) - 1
         place = place[low]
         parts.append((place + at, low + at, high + at, h[place]))
-    if not parts:
-        return Anchors(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
     return Anchors(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
+_NONE = Anchors(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+
+
 def settle(payload: bytes, found: Anchors) -> tuple[Anchors, list[tuple[int, int]]]:
     """Without the runs of windows that equal those one period before them, and the spans that these cover."""
     drop, spans = np.zeros(len(found.place), bool), []
@@ -305,9 +348,9 @@ class Context(NamedTuple):
 _CONTEXT = "hash long, digest binary, place long, left long, least long, id binary, bytes binary"
 
 
-def _contexts(shared, seen: set, payload: bytes, digest: bytes, across: bool) -> Iterator[Context]:
+def _contexts(shared, seen: set, payload: bytes, found: Anchors, digest: bytes, across: bool) -> Iterator[Context]:
     """The contexts of anchors whose bit is set; also, with left -1, spans settled on the spot (place to least)."""
-    found, spans = (anchors(payload), []) if across else settle(payload, anchors(payload))
+    found, spans = (found, []) if across else settle(payload, found)
     key = _key(digest)
     for a, b in spans:
         yield Context(key, digest, a, -1, b, b"", None)
@@ -379,16 +422,18 @@ def spans(texts: DataFrame, bits: int | None = None, hot: int = HOT, words: bool
     spark = texts.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def long(read: Callable, payloads: list) -> list[bytes]:
+        return [p for p in read([p for p in payloads if p is not None]) if len(p) >= LENGTH]
+
     def outline() -> Callable:
         read = reader(words)
 
         def rows(payloads: list) -> list[tuple]:
-            out = []
-            for p in payloads:
-                if p is not None and len(p := read(p)) >= LENGTH:
-                    digest, found = _digest(p), anchors(p)
-                    hashes = np.unique(found.hash) if across else settle(p, found)[0].hash
-                    out.append((digest, _key(digest), len(p), hashes.view(np.int64).tolist()))
+            out, texts = [], long(read, payloads)
+            for p, found in zip(texts, anchors_of(texts), strict=True):
+                digest = _digest(p)
+                hashes = np.unique(found.hash) if across else settle(p, found)[0].hash
+                out.append((digest, _key(digest), len(p), hashes.view(np.int64).tolist()))
             return out
 
         return rows
@@ -401,14 +446,19 @@ def spans(texts: DataFrame, bits: int | None = None, hot: int = HOT, words: bool
     shared, several = (common.share(spark, common.bitmap(x, bits)) for x in (counts, copied.select("key")))
     n_contexts, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
 
+    def digested(payloads: list[bytes]) -> Iterator[tuple[bytes, bytes, bool]]:
+        """Texts with their digests, and whether there may be copies of them."""
+        digests = [_digest(p) for p in payloads]
+        return zip(payloads, digests, several.value.has(np.array([_key(d) for d in digests], np.int64)).tolist(), strict=True)
+
     def single() -> Callable:
         seen, read = set(), reader(words)
 
         def rows(payloads: list) -> list[tuple]:
-            out = []
-            for p in payloads:
-                if p is not None and len(p := read(p)) >= LENGTH and not several.value.has(np.array([_key(d := _digest(p))]))[0]:
-                    out += _contexts(shared, seen, p, d, across)
+            out, texts = [], long(read, payloads)
+            own = [(p, d) for p, d, copied in digested(texts) if not copied]
+            for (p, d), found in zip(own, anchors_of([p for p, _ in own]), strict=True):
+                out += _contexts(shared, seen, p, found, d, across)
             return out
 
         return rows
@@ -417,13 +467,13 @@ def spans(texts: DataFrame, bits: int | None = None, hot: int = HOT, words: bool
         read = reader(words)
 
         def rows(payloads: list) -> list[tuple]:
-            return [(d, p) for x in payloads if x is not None and len(p := read(x)) >= LENGTH and several.value.has(np.array([_key(d := _digest(p))]))[0]]
+            return [(d, p) for p, d, copied in digested(long(read, payloads)) if copied]
 
         return rows
 
     def of_copies() -> Callable:
         seen: set = set()
-        return lambda payloads: [c for p in payloads for c in _contexts(shared, seen, p, _digest(p), across)]
+        return lambda payloads: [c for p, found in zip(payloads, anchors_of(payloads), strict=True) for c in _contexts(shared, seen, p, found, _digest(p), across)]
 
     one = _scan(texts, "digest binary, payload binary", one_of).groupBy("digest").agg(F.first("payload").alias("payload"))
     contexts = _scan(texts, _CONTEXT, single).unionByName(_scan(one.select("payload"), _CONTEXT, of_copies))
@@ -481,7 +531,7 @@ def remove(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
             read = [reader(w) for w in kinds]
             for b in batches:
                 payloads = b.column(1).to_pylist()
-                digests = [[_digest(f(p)) for p in payloads] for f in read]
+                digests = [[_digest(p) for p in f(payloads)] for f in read]
                 hit = np.zeros(len(payloads), bool)
                 for t, own in zip(touched, digests, strict=True):
                     hit |= t.value.has(np.array([_key(d) for d in own], np.int64))

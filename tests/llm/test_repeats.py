@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stemline.llm import repeats
+from stemline.llm import common, repeats
 
 
 def brute(texts):
@@ -152,3 +152,19 @@ def test_odd_rows(odd, none):
     rows = repeats.remove(odd).collect()
     assert len(rows) == odd.count() and set(rows[0]["row"].asDict()) == set(odd.columns) - {"text"}
     assert repeats.remove(none).count() == 0
+
+
+def test_texts_read_together_give_what_each_gives_alone():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 31, 399, 400, 401, 900, 5000, 70_000, 600_000] * 3
+    odd = [rng.integers(0, a, n).astype(np.uint8).tobytes() for n, a in zip(sizes, [1, 2, 5, 256, 256] * 6, strict=True)]
+    for p, found, names in zip(odd, repeats.anchors_of(odd), common.names_of(odd), strict=True):
+        alone = repeats.anchors(p)
+        assert all(np.array_equal(x, y) for x, y in zip(alone, found, strict=True))
+        assert (found.high[-1] == len(p) - 400 and found.low[0] == 0) if len(p) >= 400 else not len(found.place)
+        assert names.tolist() == [common.word_names(w)[0] for w in p.split(None)] if len(p) < 6000 else len(names) == len(common.word_names(p))
+    h = repeats._gram_hashes(np.frombuffer(odd[7], np.uint8)) & ~np.uint64(0xFFFFFF)
+    a = repeats.anchors(odd[7])
+    want = [w + int(h[w : w + repeats.REACH + 1].argmin()) for w in range(len(odd[7]) - 399)]
+    assert np.repeat(a.place, a.high - a.low + 1).tolist() == want
+    assert repeats.anchors_of([]) == common.names_of([]) == []
