@@ -97,31 +97,40 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, pairs: int = PAIRS
 def _rounds(seq: np.ndarray, is_first: np.ndarray, rules: np.ndarray, first: int, room: int, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Rounds until no pair comes least times or there are room rules; and the places of pairs that still come so often.
     Replacing makes pairs of older symbols rarer only, so after the first round just pairs with a symbol of the last
-    round are counted, and those that were frequent and are left over."""
+    round are counted, and those that were frequent and are left over. What a round removes stays in place, passed over by
+    after and before, until it is an eighth of all: rounds that replace little cost little."""
     all_rules, used, most, places = [rules], len(rules), pairs, np.arange(len(seq) - 1)
-    kind, bits = (np.uint64, np.uint64(32)) if first + room > 1 << 16 else (np.uint32, np.uint32(16))
+    after, before, live, dead = np.arange(1, len(seq) + 2), np.arange(-1, len(seq)), np.ones(len(seq), bool), 0
+    near, missing = np.zeros(len(seq) + 1, bool), 0
     while len(places):
-        places = places[~is_first[places + 1]]
-        keys = seq[places].astype(kind) << bits | seq[places + 1]
+        right = after[places]
+        inside = ~is_first[right]
+        places, right = places[inside], right[inside]
+        bits = np.uint64((first + used).bit_length())
+        keys = seq[places].astype(np.uint64) << bits | seq[right]
         alone = np.ones(len(places), bool)  # of a symbol's run, every other pair: the rest overlaps
-        same = np.flatnonzero(seq[places] == seq[places + 1])
-        alone[same[_odd(places[same], keys[same])]] = False
-        kept = np.sort(keys[alone])
-        edge = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.zeros(0, int)
-        found, counts = kept[edge], np.diff(np.append(edge, len(kept)))
+        same = np.flatnonzero(seq[places] == seq[right])
+        alone[same[_odd(places[same], right[same], keys[same])]] = False
+        order, edge, counts = _groups(keys, 2 * int(bits), alone)
         often = np.flatnonzero(counts >= least)
         if not len(often):
-            return seq, is_first, np.concatenate(all_rules), 0
+            break
+        size = np.diff(np.append(edge, len(keys)))
         if used >= room:
-            return seq, is_first, np.concatenate(all_rules), int(_among(keys, found[often]).sum())
-        chosen = np.sort(found[often[np.argsort(-counts[often], kind="stable")[: min(most, room - used)]]])
-        rank = np.searchsorted(chosen, keys)
-        rank[rank == len(chosen)] = 0
-        hit = chosen[rank] == keys
-        hits, rank = places[hit], rank[hit]
+            missing = int(size[often].sum())
+            break
+        taken = np.sort(often[np.argsort(-counts[often], kind="stable")[: min(most, room - used)]])
+        chosen = keys[order[edge[taken]]]
+        # of each place, the number of its pair among the chosen; -1: frequent, but not chosen; -2: rare
+        group = np.full(len(edge), -2, np.int32)
+        group[often] = -1
+        group[taken] = np.arange(len(taken))
+        number = np.empty(len(keys), np.int32)
+        number[order] = np.repeat(group, size)
+        hit = np.flatnonzero(number >= 0)
         # of overlapping places, every other from the left of each run of neighbours
-        odd = _odd(hits)
-        at, rank = hits[~odd], rank[~odd]
+        hit = hit[~_odd(places[hit], right[hit])]
+        at, rank = places[hit], number[hit]
         # pairs whose places went to others wait for another round; the most frequent alone keeps all of its own
         enough = np.bincount(rank, minlength=len(chosen)) >= least
         if not enough.any():
@@ -130,33 +139,59 @@ def _rounds(seq: np.ndarray, is_first: np.ndarray, rules: np.ndarray, first: int
         most = pairs
         own = enough[rank]
         at, rank = at[own], (np.cumsum(enough) - 1)[rank[own]]
-        k = np.searchsorted(at, places)
-        near, before = at[np.minimum(k, len(at) - 1)], at[np.maximum(k - 1, 0)]
-        left = places[_among(keys, found[often]) & (near != places) & (near != places + 1) & (before != places - 1)]
+        gone, ahead = after[at], before[at]
+        # frequent pairs that no replaced one touches are left over
+        near[at] = near[gone] = near[ahead] = True  # -1, before the first, is the place past the last
+        left = places[(number > -2) & ~near[places]]
+        near[at] = near[gone] = near[ahead] = False
         seq[at] = (first + used + rank).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, is_first = seq[keep], np.append(is_first[:-1][keep], True)
-        new = at - np.arange(len(at))  # their places now
-        places = np.sort(np.concatenate([new - 1, new, left - np.searchsorted(at, left)]))
-        places = places[(places >= 0) & (places < len(seq) - 1) & np.append(True, places[1:] != places[:-1])]
-        all_rules.append(np.stack([chosen >> bits, chosen & ((kind(1) << bits) - kind(1))], axis=1).astype(np.uint32)[enough])
+        after[at] = after[gone]
+        before[after[gone]] = at
+        live[gone] = False
+        dead += len(at)
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        if 16 * len(places) > len(seq):
+            near[at] = near[ahead] = near[left] = True
+            places = np.flatnonzero(near)
+            near[places] = False
+        else:
+            places = np.sort(np.concatenate([at, ahead, left]))
+            places = places[np.append(True, places[1:] != places[:-1])]
+        all_rules.append(np.stack([chosen >> bits, chosen & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32)[enough])
         used += int(enough.sum())
-    return seq, is_first, np.concatenate(all_rules), 0
-
-
-def _among(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Whether each of x is among the sorted values."""
-    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
-
-
-def _odd(at: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
-    """Whether each of the sorted places has an odd number in its run of neighbours (of one key)."""
-    new = np.diff(at) != 1
+        if 8 * dead > len(seq):
+            places = (np.cumsum(live) - 1)[places]
+            seq, is_first = seq[live], np.append(is_first[:-1][live], True)
+            after, before, live, dead = np.arange(1, len(seq) + 2), np.arange(-1, len(seq)), np.ones(len(seq), bool), 0
+            near = np.zeros(len(seq) + 1, bool)
+    return seq[live], np.append(is_first[:-1][live], True), np.concatenate(all_rules), missing
+
+
+def _groups(keys: np.ndarray, bits: int, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, where in it each group of equal ones begins, and how many of a group are alone."""
+    low = len(keys).bit_length()
+    if bits + low <= 64:  # a plain sort of key and place is several times as fast as argsort
+        both = np.sort(keys << np.uint64(low) | np.arange(len(keys), dtype=np.uint64))
+        order, ordered = (both & np.uint64((1 << low) - 1)).view(np.int64), both >> np.uint64(low)
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, int)
+    counts = np.diff(np.append(edge, len(keys)))
+    if not alone.all():
+        counts -= np.bincount(np.searchsorted(edge, np.flatnonzero(~alone[order]), "right") - 1, minlength=len(edge))
+    return order, edge, counts
+
+
+def _odd(at: np.ndarray, after: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+    """Whether each of the sorted places, which have the places after as neighbours, has an odd number in its run of
+    neighbours (of one key)."""
+    new = at[1:] != after[:-1]
     if keys is not None:
         new |= keys[1:] != keys[:-1]
     run = np.flatnonzero(np.concatenate([[True], new])) if len(at) else np.zeros(0, int)
-    return (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 1
+    return ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1).astype(bool)
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, first: int) -> bytes:

@@ -32,6 +32,17 @@ def test_ids_are_the_library_s(name, monkeypatch):
     assert e.encode([None, b""]) == [b"", b""] and e.encode([]) == []
 
 
+def test_parts_whose_hashes_are_equal_keep_their_own_ids(monkeypatch):
+    texts = ["a bb ccc", "x bb ab aab " + "q" * 70 + " " + "é" * 20, "", " a", "z bb\u3000 c", "a ccc aab " + "é" * 20 + " " + "q" * 70]
+    for mixed in (lambda h: h & np.uint64(0), lambda h: h & np.uint64(3), common.mixed):
+        monkeypatch.setattr(common, "mixed", mixed)
+        e = tokens.Encoder(tokens.vocabulary(NAMES[1]))
+        for _ in range(3):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([t.encode() for t in texts])] == plain(NAMES[1], texts)
+        assert e.known.n
+    assert e.encode([b"a \xff\xe2\x82 b"]) == e.encode(["a \ufffd\ufffd b".encode()])
+
+
 def test_shards_return_their_documents_alone_and_together():
     rng = np.random.default_rng(1)
     for first in (5, 70_000):
